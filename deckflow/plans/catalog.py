@@ -917,7 +917,7 @@ _PROMPT_LENGTH = len(
 @query(f"""{_walk(_TEXT_EDGES_SQL.replace("edges AS (SELECT i, j, similarity FROM near WHERE close)", f'''
 edges AS (
   SELECT i, j, similarity FROM near JOIN documents a ON a.doc_id = i JOIN documents b ON b.doc_id = j
-  WHERE close AND (a.text = b.text
+  WHERE close AND ((a.text = b.text AND a.source = b.source)
     OR ((length(a.text) + length(b.text) + length(a.source) + length(b.source) + {_PROMPT_LENGTH}) % 3 <> 0
     AND (length(a.text) + length(b.text) + length(a.source) + length(b.source) + {_PROMPT_LENGTH}) % 5 <> 0)))'''))}
     SELECT id AS doc_id, kept_id FROM drops""")
@@ -929,7 +929,7 @@ def neardup_confirm(spark, sf_dir):
     confirm = inference.confirm_pairs(
         cards, scratch_path(spark, "confirmations"), offline_confirmation
     )
-    drops = _text_drops(spark, sf_dir, confirm=confirm)
+    drops = _text_drops(spark, sf_dir, confirm=confirm, content=("source", "text"))
     return drops.select(F.col("id").alias("doc_id"), "kept_id")
 
 

@@ -1,0 +1,47 @@
+from pyspark.sql import functions as F
+
+from deckflow.sources import files, parts
+
+
+def test_files_are_found_by_extension(spark, tmp_path):
+    course = tmp_path / "Course"
+    course.mkdir()
+    for name in ("a.md", "b.txt", "c.MD", "d.html", ".syncthing.a.md", "syncthing-x.txt", "s.ocr.md"):
+        (course / name).write_bytes(b"ok \xff")
+    found = files.read_files(spark, str(tmp_path)).collect()
+    assert sorted(r.name for r in found) == ["a.md", "b.txt"]
+    assert {r.folder for r in found} == {str(course)}
+    assert {r.stem for r in found} == {"a", "b"}
+    text = files.read_files(spark, str(tmp_path)).select(files.decode_text(F.col("content"))).first()[0]
+    assert text == "ok �"
+
+
+def test_sidecar_replaces_a_document_without_text(spark):
+    pages = spark.createDataFrame(
+        [("/d", "scan", 1, None), ("/d", "blank", 1, " \n"), ("/d", "full", 2, " b "), ("/d", "full", 1, "a"), ("/d", "none", 1, "")],
+        "folder string, stem string, part_no int, text string",
+    )
+    sidecars = spark.createDataFrame(
+        [("/d", "scan", " read off \n"), ("/d", "full", "unused"), ("/e", "none", "other folder")],
+        "folder string, stem string, sidecar string",
+    )
+    keys = ["folder", "stem"]
+    got = parts.with_sidecar(parts.assemble_pages(pages, keys), sidecars, keys)
+    assert {r.stem: r.text for r in got.collect()} == {
+        "scan": "read off", "blank": "", "full": "a\n\nb", "none": ""
+    }
+
+
+def test_white_space_page_stays_as_an_empty_part(spark):
+    pages = spark.createDataFrame(
+        [("x", 1, "a"), ("x", 2, " \n"), ("x", 3, ""), ("x", 4, "b")], "path string, part_no int, text string"
+    )
+    assert parts.assemble_pages(pages, ["path"]).first().text == "a\n\n\n\nb"
+
+
+def test_slides_keep_their_numbers(spark):
+    shapes = spark.createDataFrame(
+        [("x", 1, 0, " one "), ("x", 1, 1, "two"), ("x", 2, 0, " "), ("x", 10, 0, "three")],
+        "path string, part_no int, shape_no int, text string",
+    )
+    assert parts.assemble_slides(shapes, ["path"]).first().text == "[Slide 1]\none\ntwo\n\n[Slide 10]\nthree"
