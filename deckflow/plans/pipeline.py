@@ -226,7 +226,13 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     numbered = materialize(
         made.withColumn(
             "card_no",
-            F.struct("subject", "theme", (F.col("kind") == "problem").alias("p"), "ordinal"),
+            F.concat_ws(
+                "\x1f",
+                "subject",
+                "theme",
+                F.when(F.col("kind") == "recall", "0").otherwise("1"),
+                F.lpad(F.col("ordinal").cast("string"), 10, "0"),
+            ),
         ).withColumn("text", text.card_text(F.col("question"), F.col("answer"))),
         "cards",
     )
@@ -327,15 +333,10 @@ def _unlike_stored(cards: DataFrame, held: DataFrame, threshold: float) -> DataF
     subjects = cards.select("subject").distinct()
     old = held.join(subjects, "subject", "left_semi").select(
         "subject",
-        F.struct(F.lit(0).alias("new"), F.col("guid").alias("a"), F.lit(0).alias("o")).alias("at"),
+        F.concat(F.lit("0"), F.col("subject"), F.lit("\x1f"), F.col("guid")).alias("at"),
         text.card_text(F.col("question"), F.col("answer")).alias("text"),
     )
-    key = F.to_json("card_no")
-    new = cards.select(
-        "subject",
-        F.struct(F.lit(1).alias("new"), key.alias("a"), F.col("ordinal").alias("o")).alias("at"),
-        "text",
-    )
+    new = cards.select("subject", F.concat(F.lit("1"), F.col("card_no")).alias("at"), "text")
     drops = neardup.text_drops(old.unionByName(new), "at", "subject", "text", threshold)
-    by_old = drops.where("id.new = 1 AND kept_id.new = 0").select(F.col("id.a").alias("_key"))
-    return cards.withColumn("_key", key).join(by_old, "_key", "left_anti").drop("_key")
+    by_old = drops.where(F.col("id").startswith("1") & F.col("kept_id").startswith("0"))
+    return cards.join(by_old.select(F.expr("substr(id, 2)").alias("card_no")), "card_no", "left_anti")
