@@ -25,7 +25,7 @@ from deckflow.operators import (
 )
 from deckflow.plans import inputs
 from deckflow.plans.inputs import other_sql, spark_sql, table
-from deckflow.session import scratch_path
+from deckflow.session import scratch_path, spread
 from deckflow.sources import files, parts
 from deckflow.streaming import incremental
 
@@ -633,7 +633,7 @@ def analysis_requests(spark, sf_dir):
               FROM old GROUP BY subject),
     asked AS (SELECT subject, '["' || string_agg(name, '","' ORDER BY name) || '"]' AS proposed
               FROM names GROUP BY subject)
-    SELECT subject, 'Subject: ' || subject || chr(10) || chr(10) || 'Existing themes in the registry:' || chr(10)
+    SELECT subject, 0::BIGINT AS part, 'Subject: ' || subject || chr(10) || chr(10) || 'Existing themes in the registry:' || chr(10)
       || coalesce(existing, '[] (none yet)') || chr(10) || chr(10) || 'Themes proposed by the new document:'
       || chr(10) || proposed || chr(10) || chr(10)
       || 'Resolve each proposed theme against the existing themes.' AS prompt
@@ -656,7 +656,7 @@ def _card_request_sql(column: str, heading: str, again: str, closing: str, how:
             FROM items WHERE p_partkey % 9 = 0),
     asked AS (SELECT subject, theme, '["' || string_agg(question, '","' ORDER BY place) || '"]' AS asked
               FROM old WHERE place <= {limit} GROUP BY ALL)
-    SELECT t.subject, t.canonical, t.subject || '::' || t.canonical || '{suffix}' AS deck,
+    SELECT t.subject, t.canonical, 0::BIGINT AS part, t.subject || '::' || t.canonical || '{suffix}' AS deck,
       'Subject: ' || t.subject || chr(10) || 'Theme: ' || t.canonical || chr(10) || chr(10) || '{heading}' || chr(10)
       || coalesce(bullets, '') || chr(10)
       || coalesce(chr(10) || '{again}' || chr(10) || asked || chr(10), '')
@@ -851,7 +851,7 @@ drops AS (SELECT j AS id, min(i) AS kept_id FROM edges WHERE i IN (SELECT id FRO
 
 @query(f"""WITH {_TERMS_SQL} SELECT id AS doc_id, term, round(1 / sqrt(n::DOUBLE), 9) AS weight FROM posts""")
 def embed_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", text.terms(F.col("text")).alias("terms")
     )
     weight = F.round(1 / F.sqrt(F.size("terms").cast("double")), 9)

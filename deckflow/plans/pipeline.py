@@ -32,7 +32,7 @@ STORE_SCHEMA = (
 )
 REGISTRY_SCHEMA = (
     "subject string, canonical string, alias string,"
-    " ordinal struct<gen:int,c:bigint,a:bigint>, run bigint"
+    " ordinal struct<gen:int,new:int,part:bigint,c:bigint,a:bigint>, run bigint"
 )
 
 # Reads one file: rows of (page or slide number from 1, shape number, text).
@@ -133,9 +133,14 @@ def read_cards(asked: DataFrame, told: DataFrame) -> DataFrame:
     parsed = asked.join(told, "request_hash").withColumn(
         "json", answers.parse_answer(F.col("raw"))["json"]
     )
-    return parsed.select(
-        "subject", F.col("canonical").alias("theme"), F.posexplode(answers.cards_of(F.col("json")))
-    ).select("subject", "theme", F.col("pos").alias("ordinal"), "col.question", "col.answer", "col.note")
+    parsed = parsed.select(
+        "subject",
+        "part",
+        F.col("canonical").alias("theme"),
+        F.posexplode(answers.cards_of(F.col("json"))),
+    )
+    place = (F.col("part") * F.lit(1_000_000) + F.col("pos")).alias("ordinal")
+    return parsed.select("subject", "theme", place, "col.question", "col.answer", "col.note")
 
 
 def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str, DataFrame]:
@@ -190,11 +195,13 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     proposed = themes.proposed_themes(analyses)
     asked, told = ask(requests.resolution_requests(proposed, known), "resolution")
     parsed = asked.join(told, "request_hash").select(
-        "subject", answers.parse_answer(F.col("raw")).alias("a"), *report.COUNTS
+        "subject", "part", answers.parse_answer(F.col("raw")).alias("a"), *report.COUNTS
     )
+    failed = parsed.where("a.json IS NULL").select("subject").distinct()
     resolutions = materialize(
-        parsed.where("a.json IS NOT NULL").select(
+        parsed.join(failed, "subject", "left_anti").select(
             "subject",
+            "part",
             answers.resolved_of(F.col("a.text")).alias("resolved"),
             answers.new_themes_of(F.col("a.json")).alias("new_themes"),
             *report.COUNTS,
@@ -202,7 +209,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         "resolutions",
     )
     aliases = themes.alias_map(themes.alias_entries(resolutions))
-    built = analyses.join(resolutions.select("subject"), "subject", "left_semi")
+    built = analyses.join(resolutions.select("subject").distinct(), "subject", "left_semi")
     resolved = themes.resolve_themes(themes.proposed_themes(built), aliases)
     items = materialize(themes.theme_items(built, resolved), "items")
     canonicals = themes.subject_canonicals(items)
@@ -231,7 +238,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
                 "subject",
                 "theme",
                 F.when(F.col("kind") == "recall", "0").otherwise("1"),
-                F.lpad(F.col("ordinal").cast("string"), 10, "0"),
+                F.lpad(F.col("ordinal").cast("string"), 18, "0"),
             ),
         ).withColumn("text", text.card_text(F.col("question"), F.col("answer"))),
         "cards",

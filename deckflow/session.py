@@ -66,3 +66,12 @@ def materialize_measured(df: DataFrame, name: str, **measures: Column) -> tuple[
     seen = Observation()
     stored = materialize(df.observe(seen, *[m.alias(k) for k, m in measures.items()]), name)
     return stored, seen.get
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give work per row to all cores where the input has fewer splits than those.
+
+    A large input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
