@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deckflow.functions import answers, ids, text
 from deckflow.operators import (
+    embedding,
     exports,
     grouping,
     inference,
@@ -477,7 +478,11 @@ def valid_cards(spark, sf_dir):
 
 @query(f"WITH {inputs.CARDS_SQL} SELECT conv_id, turn, kind, deck FROM cards")
 def cards_union(spark, sf_dir):
-    return inputs.decked_cards(spark, sf_dir).select("conv_id", "turn", "kind", "deck")
+    made = inputs.cards(spark, sf_dir)
+    recall, problem = made.where("kind = 'recall'"), made.where("kind = 'problem'")
+    return store.union_cards(recall.drop("kind"), problem.drop("kind")).select(
+        "conv_id", "turn", "kind", "deck"
+    )
 
 
 _STORED = "conv_id % 4 = 1"
@@ -860,6 +865,32 @@ def embed_terms(spark, sf_dir):
     )
 
 
+def refusing_embedder(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a hosted model that refuses some texts."""
+    if any(t.startswith("T") for t in texts):
+        raise ValueError("refused")
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def local_embedder(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(t.count(" ")), float(t.count("."))] for t in texts]
+
+
+@query("""WITH refused AS (SELECT DISTINCT source FROM documents WHERE starts_with(text, 'T'))
+    SELECT doc_id, CASE WHEN source IN (SELECT source FROM refused) THEN 1 ELSE 0 END AS model,
+      CASE WHEN source IN (SELECT source FROM refused)
+        THEN length(text) || ',' || (length(text) - length(replace(text, ' ', ''))) || ',' || (length(text) - length(replace(text, '.', '')))
+        ELSE length(text) || ',' || (length(text) - length(replace(text, 'e', ''))) END AS vec
+    FROM documents""")
+def embed_stage(spark, sf_dir):
+    made = embedding.embed_texts(
+        table(spark, sf_dir, "documents"), "doc_id", "source", "text",
+        [refusing_embedder, local_embedder],
+    )
+    whole = F.array_join(F.transform("vec", lambda x: x.cast("bigint").cast("string")), ",")
+    return made.select(F.col("id").alias("doc_id"), "model", whole.alias("vec"))
+
+
 def _text_drops(spark, sf_dir, **options):
     docs = table(spark, sf_dir, "documents")
     return neardup.text_drops(docs, "doc_id", "lang", "text", **options)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckflow.functions.ids import BASE62_DIGITS
+from deckflow.functions.text import deck_name
 from deckflow.operators import store
 from deckflow.sources.files import with_path_parts
 
@@ -293,9 +294,8 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = cards(spark, sf_dir)
-    return store.union_cards(
-        made.where("kind = 'recall'").drop("kind"), made.where("kind = 'problem'").drop("kind")
+    return cards(spark, sf_dir).withColumn(
+        "deck", deck_name(F.col("subject"), F.col("theme"), F.col("kind"))
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from deckflow.functions import answers, text
 from deckflow.operators import (
+    embedding,
     exports,
     grouping,
     inference,
@@ -53,6 +54,8 @@ class Params:
     register_new: bool = True
     confirm: bool = True
     against_stored: bool = False
+    # Tried in order; without any, cards are compared by their terms.
+    embedders: tuple[embedding.Embedder, ...] = ()
 
     def path(self, name: str) -> str:
         return f"{self.work_dir.rstrip('/')}/{name}"
@@ -243,9 +246,15 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         ).withColumn("text", text.card_text(F.col("question"), F.col("answer"))),
         "cards",
     )
+    compared, vector = numbered, None
+    if p.embedders:
+        vectors = embedding.embed_texts(numbered, "card_no", "subject", "text", p.embedders)
+        compared = numbered.join(vectors.select(F.col("id").alias("card_no"), "vec"), "card_no")
+        vector = "vec"
     kept = neardup.deduplicate_cards(
-        numbered, p.threshold, _confirmation(numbered, p) if p.confirm else None
-    )
+        compared, p.threshold, _confirmation(numbered, p) if p.confirm else None, vector
+    ).drop("vec")
+    kept = materialize(kept, "kept")
     if p.against_stored:
         kept = _unlike_stored(kept, held, p.threshold)
 

@@ -152,3 +152,16 @@ def test_new_cards_may_be_compared_with_stored_ones(spark, course):
     # Stored questions are part of the requests, so these are new requests.
     p = params(course, Rephrased(), against_stored=True)
     assert pipeline.run(spark, p, now_ms=2_000)["inserted"].count() == 0
+
+
+def test_embedders_may_replace_terms(spark, course):
+    def broken(texts):
+        raise RuntimeError("no such model")
+
+    def letters(texts):
+        return [[float(t.lower().count(chr(97 + k))) for k in range(26)] for t in texts]
+
+    p = params(course, Model(), embedders=(broken, letters), confirm=False, threshold=0.97)
+    got = pipeline.run(spark, p, now_ms=1_000)
+    asked = {r.question for r in got["inserted"].collect() if r.subject == "Told"}
+    assert asked == {LONG.format(t="Bayes"), "State Bayes", "Solve Bayes"}
