@@ -23,7 +23,7 @@ from deckflow.operators import (
     store,
     themes,
 )
-from deckflow.session import materialize
+from deckflow.session import materialize, materialize_measured
 from deckflow.sources import files, parts
 from deckflow.sources.tables import read_or_empty
 
@@ -156,10 +156,12 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     held = read_or_empty(spark, p.path("store"), STORE_SCHEMA)
     log = read_or_empty(spark, p.path("ledger"), ledger.LEDGER_SCHEMA)
     present = held.select("subject").distinct().select(artifact.alias("artifact"))
-    pending = materialize(
-        ledger.pending_files(found.drop("content"), ledger.latest_entries(log), present), "pending"
+    pending, seen = materialize_measured(
+        ledger.pending_files(found.drop("content"), ledger.latest_entries(log), present),
+        "pending",
+        n=F.count(F.lit(1)),
     )
-    if pending.isEmpty():
+    if not seen["n"]:
         return {"pending": pending}
 
     # Groups of documents with text, and one analysis per group.
@@ -169,7 +171,10 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     members = grouping.group_files(groups)
     chosen = pending.join(members.select("path"), "path", "left_semi")
     documents, unreadable = read_documents(
-        chosen, found.select("path", "content"), files.read_sidecars(spark, root), p.decode
+        chosen,
+        files.read_content(chosen, seen["n"], root, p.extensions),
+        files.read_sidecars(spark, root),
+        p.decode,
     )
     usable = materialize(
         grouping.usable_documents(members, documents).join(

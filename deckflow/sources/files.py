@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -14,6 +16,9 @@ SLIDE_FORMATS = (".pptx", ".ppt")
 TEXT_FORMATS = (".md", ".txt")
 # ----------------------------------------------------------------------------
 
+# Up to this many files are opened by name rather than found by another scan.
+NAMED_FILES = 10_000
+
 
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``folder``, ``name``, ``stem`` and ``ext`` (with its dot) of a path."""
@@ -70,30 +75,46 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _binary(spark: SparkSession) -> DataFrameReader:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+
+
+def _plain_path() -> Column:
+    return F.regexp_replace("path", r"^file:(//)?", "").alias("path")
+
+
 def read_files(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
     """All supported files below ``root``: path parts, content and its hash."""
     found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
+        _binary(spark)
         .option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
         .load(root)
-        .select(F.regexp_replace("path", r"^file:(//)?", "").alias("path"), "content")
+        .select(_plain_path(), "content")
     )
     named = without_artifacts(by_extension(with_path_parts(found), extensions))
     return named.withColumn("sha256", content_hash(F.col("content")))
 
 
+def read_content(files: DataFrame, n: int, root: str, extensions=EXTENSIONS) -> DataFrame:
+    """``(path, content)`` of some of the files below ``root``; ``n`` is how many.
+
+    Few files, as in most runs, are opened by name. For many, all are scanned again
+    and the caller's join keeps the right ones.
+    """
+    spark = files.sparkSession
+    if n > NAMED_FILES:
+        return read_files(spark, root, extensions).select("path", "content")
+    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in files.select("path").collect()]
+    return _binary(spark).load(names).select(_plain_path(), "content")
+
+
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """Text read off scanned documents beforehand: ``(folder, stem, sidecar)``."""
     found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
+        _binary(spark)
         .option("pathGlobFilter", "*" + SIDECAR_SUFFIX)
         .load(root)
-        .select(
-            F.regexp_replace("path", r"^file:(//)?", "").alias("path"),
-            decode_text(F.col("content")).alias("sidecar"),
-        )
+        .select(_plain_path(), decode_text(F.col("content")).alias("sidecar"))
     )
     parts = with_path_parts(found)
     cut = (F.length("name") - len(SIDECAR_SUFFIX)).cast("int")

@@ -45,3 +45,14 @@ def test_slides_keep_their_numbers(spark):
         "path string, part_no int, shape_no int, text string",
     )
     assert parts.assemble_slides(shapes, ["path"]).first().text == "[Slide 1]\none\ntwo\n\n[Slide 10]\nthree"
+
+
+def test_files_are_opened_by_name(spark, tmp_path, monkeypatch):
+    odd = ["a [1].md", "b{x}*.txt", "c?, d.md"]
+    for name in odd:
+        (tmp_path / name).write_text(name)
+    found = files.read_files(spark, str(tmp_path)).drop("content").where("name <> 'c?, d.md'")
+    for limit in (10, 1):  # by name, then by another scan
+        monkeypatch.setattr(files, "NAMED_FILES", limit)
+        got = found.join(files.read_content(found, 2, str(tmp_path)), "path")
+        assert {r.name: bytes(r.content).decode() for r in got.collect()} == {n: n for n in odd[:2]}
