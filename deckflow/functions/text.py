@@ -20,6 +20,8 @@ EXERCISE_WORDS = "td|tp|exercices?|worksheet"
 ANNOTATED_WORDS = "annotated|annoté|notes?"
 DOC_TYPES = ("lecture", "lecture_annotated", "td", "td_corrected")
 ARTIFACT_SUFFIX = ".apkg"
+DECK_SEPARATOR = "::"
+PROBLEM_DECK = "Problems"
 # ----------------------------------------------------------------------------
 
 _SPACE = r"[\s\x1c-\x1f]"
@@ -80,7 +82,9 @@ def artifact_name(subject: Column, suffix: str = ARTIFACT_SUFFIX) -> Column:
 
 def deck_name(subject: Column, theme: Column, kind: Column) -> Column:
     """``subject::theme``, with a ``Problems`` child for problem cards."""
-    return F.concat_ws("::", subject, theme, F.when(kind == "problem", F.lit("Problems")))
+    return F.concat_ws(
+        DECK_SEPARATOR, subject, theme, F.when(kind == "problem", F.lit(PROBLEM_DECK))
+    )
 
 
 def card_text(question: Column, answer: Column) -> Column:

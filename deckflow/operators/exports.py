@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 CSV_COLUMNS = ("deck", "question", "answer", "note")
+SUBJECT_MARK = "# "
+DECK_MARK = "## "
+QUESTION_MARK = "**Q:** "
+ANSWER_MARK = "**A:** "
+NOTE_MARK = "> "
+CARD_END = "---"
 # ----------------------------------------------------------------------------
 
 
@@ -17,22 +23,22 @@ def markdown_blocks(snapshot: DataFrame) -> DataFrame:
     are its Markdown file. The heading has deck '' and sorts first. No subject is
     ever put together in one row, so its size does not matter.
     """
-    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n\n> "), F.col("note")))
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n\n" + NOTE_MARK), F.col("note")))
     card = F.concat(
-        F.lit("\n**Q:** "), F.col("question"),
-        F.lit("\n\n**A:** "), F.col("answer"),
-        F.coalesce(note, F.lit("")), F.lit("\n\n---"),
+        F.lit("\n" + QUESTION_MARK), F.col("question"),
+        F.lit("\n\n" + ANSWER_MARK), F.col("answer"),
+        F.coalesce(note, F.lit("")), F.lit("\n\n" + CARD_END),
     )
     decks = snapshot.select("subject", "deck").distinct()
     subjects = snapshot.select("subject").distinct()
     no_id = F.lit(0).cast("bigint").alias("nid")
     heading = subjects.select(
         "subject", F.lit("").alias("deck"), F.lit(0).alias("part"), no_id,
-        F.concat(F.lit("# "), F.col("subject")).alias("block"),
+        F.concat(F.lit(SUBJECT_MARK), F.col("subject")).alias("block"),
     )
     deck_heading = decks.select(
         "subject", "deck", F.lit(1).alias("part"), no_id,
-        F.concat(F.lit("\n## "), F.col("deck")).alias("block"),
+        F.concat(F.lit("\n" + DECK_MARK), F.col("deck")).alias("block"),
     )
     cards = snapshot.select("subject", "deck", F.lit(2).alias("part"), "nid", card.alias("block"))
     return heading.unionByName(deck_heading).unionByName(cards)

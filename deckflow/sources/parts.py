@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from deckflow.functions.text import is_blank, strip
 
+# --- fixed values -----------------------------------------------------------
+SLIDE_HEADING = ("[Slide ", "]")
+# ----------------------------------------------------------------------------
+
 
 def assemble_pages(
     parts: DataFrame, keys: Sequence[str], part_no: str = "part_no", text: str = "text"
@@ -47,7 +51,12 @@ def assemble_slides(
     )
     headed = slides.withColumn(
         "_slide",
-        F.concat(F.lit("[Slide "), F.col(slide_no).cast("string"), F.lit("]\n"), F.col("_body")),
+        F.concat(
+            F.lit(SLIDE_HEADING[0]),
+            F.col(slide_no).cast("string"),
+            F.lit(SLIDE_HEADING[1] + "\n"),
+            F.col("_body"),
+        ),
     )
     return headed.groupBy(*keys).agg(
         F.expr(f"listagg(_slide, '\n\n') WITHIN GROUP (ORDER BY {slide_no})").alias("text")
