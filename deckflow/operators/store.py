@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckflow.functions.ids import checksum, deck_ancestors, deck_id, root_subject, stable_guid
+from deckflow.functions.ids import checksum, deck_ancestors, deck_id, stable_guid
 from deckflow.functions.text import deck_name, strip
+from deckflow.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 UNKNOWN_DECK = "Unknown"
@@ -82,8 +83,9 @@ def numbered(cards: DataFrame, subject: str, deck: str, ordinal: str) -> DataFra
     are ranked inside ranges of NUMBER_RANGE ordinals, and the counts of the ranges
     give each range its offset.
     """
-    ranged = cards.withColumn(
-        "_range", F.floor(F.col(ordinal) / F.lit(NUMBER_RANGE)).cast("bigint")
+    ranged = materialize(
+        cards.withColumn("_range", F.floor(F.col(ordinal) / F.lit(NUMBER_RANGE)).cast("bigint")),
+        "ranged",
     )
     keys = [subject, deck, "_range"]
     before = Window.partitionBy(subject).orderBy(deck, "_range").rowsBetween(
@@ -195,7 +197,3 @@ def existing_questions(
 
 def added_counts(inserted: DataFrame) -> DataFrame:
     return inserted.groupBy("subject", "deck").agg(F.count("*").alias("added"))
-
-
-def subject_of_deck(deck: Column) -> Column:
-    return root_subject(deck)

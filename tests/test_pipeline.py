@@ -121,6 +121,12 @@ def test_runs_are_incremental_and_idempotent(spark, course):
     assert text.startswith("# Told\n\n## Told::Bayes\n\n**Q:** ") and text.count("**Q:**") == 3
 
 
+def test_an_empty_folder_is_no_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    got = pipeline.run(spark, params(tmp_path / "in", Model()))
+    assert set(got) == {"pending"} and got["pending"].isEmpty()
+
+
 def test_failures_stay_where_they_happen(spark, course):
     model = Model(fail=[("recall", "Subject: Told"), ("problem", "Subject: Told"), ("analysis", "theme:Bayes again")])
     (course / "My_Course" / "Broken.pdf").write_bytes(b"junk")
