@@ -26,7 +26,7 @@ from deckflow.operators import (
 )
 from deckflow.plans import inputs
 from deckflow.plans.inputs import other_sql, spark_sql, table
-from deckflow.session import scratch_path, spread
+from deckflow.session import materialize, scratch_path, spread
 from deckflow.sources import files, parts
 from deckflow.streaming import incremental
 
@@ -687,7 +687,7 @@ def _asked_before(spark, sf_dir, suffix: str) -> DataFrame:
     "recall_concepts", "Concepts to cover:", "Already existing questions for this theme (DO NOT duplicate):",
     "Generate RECALL flashcards.", "LEFT", 30, ""))
 def recall_requests(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = materialize(_items(spark, sf_dir), "items")
     return requests.recall_requests(
         themes.subject_canonicals(items),
         themes.theme_content(items, "recall_concepts"),
@@ -700,7 +700,7 @@ def recall_requests(spark, sf_dir):
     "Already existing problem questions for this theme (DO NOT duplicate):",
     "Generate PROBLEM-TYPE flashcards.", "INNER", 20, "::Problems"))
 def problem_requests(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = materialize(_items(spark, sf_dir), "items")
     return requests.problem_requests(
         themes.subject_canonicals(items),
         themes.theme_content(items, "problem_types"),
