@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 
@@ -14,23 +16,37 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A word of Latin letters and what may follow it: the pre-tokenizer always parts the two,
+#: and the normalizer lowers such letters one by one.
+_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
+
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+
+
 class WordEncoder:
     """``Tokenizer.encode(text, add_special_tokens=False)``, a space-separated word at a time.
 
     For tokenizers whose normalizer and pre-tokenizer never join or look across a space
     (the word-end BPE here: composition, white space, lower case, and a pattern that
     drops white space). Then the ids of a text are those of its words in a row, and a
-    word that was seen needs no second pass. ``limit`` bounds the remembered words.
+    word that was seen needs no second pass; nor do its capitals and closing marks.
+    ``limit`` bounds the remembered words.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._limit = limit
-        self._known: dict[str, bytes] = {"": b""}
+        self._model, self._limit = self._tokenizer.model, limit
+        # Small Latin letters as the byte-level step spells them; normalizer and pattern leave them alone.
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._bytes = {c: split(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self._seen: dict[str, bytes] = {"": b""}
+        # Words as they are encoded, in two generations: what is in use outlives a full table.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian in ``dtype``; a null text has none."""
@@ -38,15 +54,37 @@ class WordEncoder:
             (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             for t in texts
         ]
-        if len(self._known) > self._limit:
-            self._known = {"": b""}
-        known = self._known
-        new = [w for w in set().union(*words) if w not in known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+        if len(self._seen) > self._limit:
+            self._seen = {"": b""}
+        seen = self._seen
+        self._learn([w for w in set().union(*words) if w not in seen])
+        return [b"".join(map(seen.__getitem__, w)) for w in words]
+
+    def _learn(self, words: list[str]) -> None:
+        parts = []
+        for word in words:
+            found = _PARTS.fullmatch(word)
+            parts.append((found[1].lower(), found[2]) if found else (word, ""))
+        if len(self._young) > 2 * self._limit:
+            self._old, self._young = self._young, {}
+        young, old, new = self._young, self._old, []
+        for part in set().union(*parts):
+            if part not in young:
+                if part in old:
+                    young[part] = old[part]
+                else:
+                    new.append(part)
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        rest = []
+        for part in new:
+            if _LETTERS.fullmatch(part):
+                young[part] = array(kind, [t.id for t in self._model.tokenize(part.translate(self._bytes))]).tobytes()
+            else:
+                rest.append(part)
+        for part, got in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            young[part] = array(kind, got.ids).tobytes()
+        for word, (core, marks) in zip(words, parts):
+            self._seen[word] = young[core] + young[marks]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
