@@ -1,12 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of words, word pairs, and pairs with one or two words between,
-hashed to ``1 << BITS`` coordinates. Each coordinate has a learning rate of its own; the
-L1 term leaves most weights at zero, so the model is a short list that every task gets.
+hashed to ``1 << BITS`` coordinates; those that fewer than ``min_rows`` texts of the sample
+have teach nothing. Each coordinate has a learning rate of its own; the L1 term leaves
+most weights at zero, so the model is a short list that every task gets.
 
 The model is fitted in one task on a sample of labelled rows whose size is a parameter
-(``sample_rows``, those with the smallest hash of their id); features are made where the
-texts are read.
+(``sample_rows`` of each label, those with the smallest hash of their id); the bias is
+then set for the share that the label has among all labelled rows. Features are made
+where the texts are read.
 
 Defined cases: a null or empty text has no feature and gets the model's bias; a text
 labelled twice counts as toxic if one label says so; rows with a null label or id teach
@@ -27,35 +29,42 @@ from pyspark.sql import functions as F
 
 from deckflow.llm.common import WORD_HASHES, keep_rows, mixed, slices, text_rows
 
-BITS = 20
-SAMPLE_ROWS = 12_000
+BITS = 24
+#: Rows with label 0 and 1 that are fitted, at most.
+SAMPLE_ROWS = (10_000, 6_000)
+MIN_ROWS = 15
 THRESHOLD = 0.3
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted distinct coordinates of a whole text."""
+def _grams(text: str | None) -> np.ndarray:
+    """Coordinates of a whole text, with repeats."""
     words = WORD_HASHES.of(_WORD.findall((text or "").encode().lower()))
     grams = [words]
     for gap in (1, 2, 3):
         grams.append(mixed(words[:-gap], words[gap:], gap))
-    return np.unique((np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.uint32))
+    return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.uint32)
+
+
+def features(text: str | None) -> np.ndarray:
+    return np.unique(_grams(text))
 
 
 @dataclass
 class Ftrl:
     """Follow the regularised leader, with a learning rate per coordinate."""
 
-    alpha: float = 0.1
+    alpha: float = 0.5
     beta: float = 1.0
     l1: float = 1.0
-    l2: float = 1.0
-
-    def fit(self, rows: list[tuple[np.ndarray, int]], epochs: int) -> tuple[np.ndarray, float]:
-        """Weights and bias for rows of (coordinates, label); the bias is the last coordinate."""
-        bias = np.array([1 << BITS], np.uint32)
-        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-        rows = [(np.concatenate([x, bias]), y) for x, y in rows]
+    l2: float = 0.0
+
+    def fit(
+        self, rows: list[tuple[np.ndarray, int]], size: int, epochs: int
+    ) -> tuple[np.ndarray, float]:
+        """Weights and bias for rows of (coordinates below ``size``, label)."""
+        self.z, self.n, self.size = np.zeros(size + 1), np.zeros(size + 1), size
+        rows = [(np.append(x, size), y) for x, y in rows]
         for _ in range(epochs):
             for at, label in rows:
                 w, n = self.weights(at), self.n[at]
@@ -63,14 +72,14 @@ class Ftrl:
                 grown = n + g * g
                 self.z[at] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
                 self.n[at] = grown
-        w = self.weights(np.arange((1 << BITS) + 1))
+        w = self.weights(np.arange(size + 1))
         return w[:-1], float(w[-1])
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         slope = (self.beta + np.sqrt(n)) / self.alpha + self.l2
-        # The bias carries no penalty for being there.
-        l1 = np.where(at == 1 << BITS, 0.0, self.l1)
+        # The bias, the last coordinate, carries no penalty for being there.
+        l1 = np.where(at == self.size, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / slope)
 
 
@@ -81,13 +90,19 @@ class Model:
     at: np.ndarray
     weight: np.ndarray
     bias: float | None
+    _dense: np.ndarray | None = None
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.bias is None:
             return [0.0] * len(texts)
-        dense = np.zeros(1 << BITS, np.float64)
-        dense[self.at] = self.weight
-        sums = np.array([dense[features(t)].sum() for t in texts]) + self.bias
+        if self._dense is None:
+            self._dense = np.zeros(1 << BITS, np.float32)
+            self._dense[self.at] = self.weight
+        sums = []
+        for text in texts:
+            grams = _grams(text)
+            told = np.unique(grams[self._dense[grams] != 0])
+            sums.append(float(self._dense[told].sum()) + self.bias)
         return (1 / (1 + np.exp(-np.clip(sums, -35, 35)))).tolist()
 
 
@@ -95,20 +110,23 @@ def train(
     docs: DataFrame,
     labels: DataFrame,
     label_col: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS,
-    epochs: int = 4,
+    sample_rows: tuple[int, int] = SAMPLE_ROWS,
+    min_rows: int = MIN_ROWS,
+    epochs: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
-    """Fit on at most ``sample_rows`` rows of ``labels`` (ids and 0/1) and their texts."""
+    """Fit on rows of ``labels`` (ids and 0/1) and their texts, at most ``sample_rows`` of each label."""
     known = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
         .dropna()
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .withColumn("rank", F.xxhash64("doc_id"))
-        .orderBy("rank")
-        .limit(sample_rows)
+    )
+    shares = {r.label: r.n for r in known.groupBy(F.col("label") == 1).agg(F.max("label").alias("label"), F.count("*").alias("n")).collect()}
+    sample = known.filter("label = 0").orderBy("rank").limit(sample_rows[0]).unionByName(
+        known.filter("label = 1").orderBy("rank").limit(sample_rows[1])
     )
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,23 +139,31 @@ def train(
                 )
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (np.frombuffer(x, np.uint32), y)
-            for batch in batches
-            for x, y in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist())
-        ]
+        rows, having = [], np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            for x, y in zip(batch.column("features").to_pylist(), batch.column("label").to_pylist()):
+                rows.append((np.frombuffer(x, np.uint32), y))
+                having[rows[-1][0]] += 1
         if not rows:
             return
-        weight, bias = Ftrl().fit(rows, epochs)
+        kept = np.flatnonzero(having >= min_rows)
+        having[:] = -1
+        having[kept] = np.arange(len(kept))
+        for i, (x, y) in enumerate(rows):
+            x = having[x]
+            rows[i] = x[x >= 0], y
+        weight, bias = Ftrl().fit(rows, len(kept), epochs)
+        ones = sum(y for _, y in rows)
+        bias += np.log(((shares.get(1, 0) or 0.5) * max(len(rows) - ones, 0.5)) / ((shares.get(0, 0) or 0.5) * max(ones, 0.5)))
         at = np.flatnonzero(weight)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(weight[at], bias))], ["at", "weight"]
+            [pa.array(np.append(kept[at], -1), pa.int64()), pa.array(np.append(weight[at], bias))], ["at", "weight"]
         )
 
-    # The sample is bounded by ``sample_rows`` pairs of numbers, so it may be broadcast.
+    # The sample is bounded by ``sample_rows``, three numbers each, so it may be broadcast.
     fitted = (
         text_rows(docs, id_col, text_col)
-        .join(F.broadcast(known), "doc_id")
+        .join(F.broadcast(sample), "doc_id")
         .mapInArrow(seen, "rank long, label int, features binary")
         .repartition(1)
         .sortWithinPartitions("rank", "label", "features")
