@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.llm import decontamination, language, packing, simhash, token_files, tokens, toxicity
+from deckflow.llm import decontamination, language, packing, quality, simhash, token_files, tokens, toxicity
 from deckflow.llm.common import remainder, table
 from deckflow.session import materialize
 
@@ -36,6 +36,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.digests(token_files.write(docs, tokens.word_bpe(), end_id=2))
@@ -64,6 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_quality": op4_quality,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
