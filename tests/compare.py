@@ -8,6 +8,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -19,7 +20,7 @@ TABLES = (
 
 
 def plain(value):
-    if value is None:
+    if value is None or value is pd.NA:
         return None
     if hasattr(value, "item"):
         value = value.item()
