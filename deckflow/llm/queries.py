@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.llm import decontamination, language, packing, pii, quality, simhash, token_files, tokens, toxicity
+from deckflow.llm import decontamination, language, licenses, packing, pii, quality, simhash, token_files, tokens, toxicity
 from deckflow.llm.common import remainder, table
 from deckflow.session import materialize
 
@@ -41,6 +41,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.digests(token_files.write(docs, tokens.word_bpe(), end_id=2))
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality": op4_quality,
+    "op5_licenses": op5_licenses,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
@@ -82,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
