@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.llm import decontamination, language, licenses, packing, pii, quality, simhash, token_files, tokens, toxicity
+from deckflow.llm import decontamination, language, licenses, packing, pii, quality, simhash, substrings, token_files, tokens, toxicity
 from deckflow.llm.common import remainder, table
 from deckflow.session import materialize
 
@@ -36,6 +36,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"), size=20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -78,6 +82,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op5_licenses": op5_licenses,
     "op6_token_files": op6_token_files,
@@ -87,4 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op3_substrings": substrings.oracle_sql(),
+    "op5_licenses": licenses.oracle_sql(),
+}
