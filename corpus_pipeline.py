@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs, shingle=4, distance=4)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    stay = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    stay = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])
 
 

@@ -1,8 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the presence of words, word pairs, and pairs with one or two words between,
-hashed to ``1 << BITS`` coordinates; those that fewer than ``min_rows`` texts of the sample
-have teach nothing. Each coordinate has a learning rate of its own; the L1 term leaves
+Features are the presence of words (value 1), and of word pairs and pairs with one or two
+words between (value ``PAIR``: they are many, and a word should be blamed first), hashed
+to ``1 << BITS`` coordinates; those that less than ``min_share`` of the sampled texts (or
+fewer than three) have teach nothing. Each coordinate has a learning rate of its own; the L1 term leaves
 most weights at zero, so the model is a short list that every task gets.
 
 The model is fitted in one task on a sample of labelled rows whose size is a parameter
@@ -32,7 +33,10 @@ from deckflow.llm.common import WORD_HASHES, keep_rows, mixed, slices, text_rows
 BITS = 24
 #: Rows with label 0 and 1 that are fitted, at most.
 SAMPLE_ROWS = (10_000, 6_000)
-MIN_ROWS = 15
+MIN_SHARE = 0.001
+PAIR = 0.3
+#: Coordinates of words, apart from those of pairs.
+_WORDS = 1 << (BITS - 1)
 THRESHOLD = 0.3
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -40,10 +44,9 @@ _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 def _grams(text: str | None) -> np.ndarray:
     """Coordinates of a whole text, with repeats."""
     words = WORD_HASHES.of(_WORD.findall((text or "").encode().lower()))
-    grams = [words]
-    for gap in (1, 2, 3):
-        grams.append(mixed(words[:-gap], words[gap:], gap))
-    return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.uint32)
+    pairs = np.concatenate([mixed(words[:-gap], words[gap:], gap) for gap in (1, 2, 3)])
+    words, pairs = ((x >> np.uint64(65 - BITS)).astype(np.uint32) for x in (words, pairs))
+    return np.concatenate([words | np.uint32(_WORDS), pairs])
 
 
 def features(text: str | None) -> np.ndarray:
@@ -60,20 +63,22 @@ class Ftrl:
     l2: float = 0.0
 
     def fit(
-        self, rows: list[tuple[np.ndarray, int]], size: int, epochs: int
+        self, rows: list[tuple[np.ndarray, int]], values: np.ndarray, epochs: int
     ) -> tuple[np.ndarray, float]:
-        """Weights and bias for rows of (coordinates below ``size``, label)."""
-        self.z, self.n, self.size = np.zeros(size + 1), np.zeros(size + 1), size
+        """Weights and bias for rows of (present coordinates, label); ``values`` are theirs if present."""
+        size = self.size = len(values)
+        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        values = np.append(values, 1.0)
         rows = [(np.append(x, size), y) for x, y in rows]
         for _ in range(epochs):
             for at, label in rows:
-                w, n = self.weights(at), self.n[at]
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+                w, n, x = self.weights(at), self.n[at], values[at]
+                g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
                 grown = n + g * g
                 self.z[at] += g - (np.sqrt(grown) - np.sqrt(n)) / self.alpha * w
                 self.n[at] = grown
         w = self.weights(np.arange(size + 1))
-        return w[:-1], float(w[-1])
+        return w[:-1] * values[:-1], float(w[-1])
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -111,7 +116,7 @@ def train(
     labels: DataFrame,
     label_col: str = "toxic",
     sample_rows: tuple[int, int] = SAMPLE_ROWS,
-    min_rows: int = MIN_ROWS,
+    min_share: float = MIN_SHARE,
     epochs: int = 6,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -146,13 +151,13 @@ def train(
                 having[rows[-1][0]] += 1
         if not rows:
             return
-        kept = np.flatnonzero(having >= min_rows)
+        kept = np.flatnonzero(having >= max(3, min_share * len(rows)))
         having[:] = -1
         having[kept] = np.arange(len(kept))
         for i, (x, y) in enumerate(rows):
             x = having[x]
             rows[i] = x[x >= 0], y
-        weight, bias = Ftrl().fit(rows, len(kept), epochs)
+        weight, bias = Ftrl().fit(rows, np.where(kept >= _WORDS, 1.0, PAIR), epochs)
         ones = sum(y for _, y in rows)
         bias += np.log(((shares.get(1, 0) or 0.5) * max(len(rows) - ones, 0.5)) / ((shares.get(0, 0) or 0.5) * max(ones, 0.5)))
         at = np.flatnonzero(weight)

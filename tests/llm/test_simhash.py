@@ -1,0 +1,80 @@
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from deckflow.llm import simhash
+from deckflow.llm.components import components
+
+
+def brute_fingerprint(text, size=4):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(rows, distance=4):
+    """``rows``: id and fingerprint; the least id that links reach, for each row."""
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(rows[i][1] ^ rows[j][1]).count("1") <= distance and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return [min((r[0] for r, y in zip(rows, label) if y == x and r[0] is not None), default=None) for x in label]
+
+
+@pytest.mark.parametrize("text", ["", None, " \n", "One", "a b c", "A b C d", "x y z x y z x y z x", "É Ü ß\x85a b c d"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def clusters(seed, n):
+    rng = np.random.default_rng(seed)
+    seeds = rng.integers(0, 2**63, n, dtype=np.uint64)
+    out = list(seeds)
+    for s in seeds:
+        for _ in range(rng.integers(0, 5)):
+            flips = rng.choice(64, rng.integers(1, 7), replace=False)
+            s = s ^ np.uint64(sum(1 << int(f) for f in flips))
+            out.append(s)
+    return out
+
+
+@pytest.mark.parametrize("step, group", [(simhash.STEP, simhash.GROUP), (4000, 9000)])
+def test_components_equal_brute_force(spark, monkeypatch, step, group):
+    """Also where beginnings are cut again, in a task and over tasks."""
+    monkeypatch.setattr(simhash, "STEP", step)
+    monkeypatch.setattr(simhash, "GROUP", group)
+    fps = np.unique(np.array(clusters(1, 25) + [0, 1, 2**63, 2**64 - 1], np.uint64))
+    signed = fps.view(np.int64).tolist()
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), len(signed))
+    root = {r.node: r.root for r in components(edges).collect()}
+    want = brute_components(list(zip(signed, fps.tolist())))
+    assert [root.get(f, f) for f in signed] == want
+
+
+def test_forest_spans():
+    pairs = np.array([[1, 2], [2, 3], [7, 9], [3, 5]], np.uint64)
+    assert sorted(map(tuple, simhash.forest(pairs).tolist())) == [(1, 2), (1, 3), (1, 5), (7, 9)]
+
+
+def test_long_path(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 500)], "a long, b long")
+    rows = components(path).collect()
+    assert {r.root for r in rows} == {0} and len(rows) == 301
+
+
+def test_edges(spark, edges):
+    rows = simhash.near_duplicates(edges).collect()
+    given = [(r.doc_id, r.text) for r in edges.collect()]
+    assert len(rows) == len(given)
+    want = brute_components([(d, brute_fingerprint(t)) for d, t in given])
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    expected = sorted(((d, signed(brute_fingerprint(t)), c) for (d, t), c in zip(given, want)), key=str)
+    assert sorted(((r.doc_id, r.fp, r.component_id) for r in rows), key=str) == expected
+    assert simhash.near_duplicates(edges.limit(0)).count() == 0
