@@ -20,34 +20,70 @@ THEMES_SCHEMA = (
 RESOLVED_SCHEMA = "map<string,array<string>>"
 
 
+# Nested lists and objects that a cut-off answer may leave open.
+OPEN_DEPTH = 16
+
+
+def _closers(text: Column) -> Column:
+    """What a cut-off JSON text lacks at its end: a quote, and brackets from the inside out."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    quote = F.when(bare.contains('"'), '"').otherwise("")
+    left = F.regexp_replace(F.regexp_replace(bare, r'(?s)".*', ""), r"[^\[\]{}]", "")
+    for _ in range(OPEN_DEPTH):
+        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    return F.struct(quote.alias("quote"), F.reverse(F.translate(left, "[{", "]}")).alias("brackets"))
+
+
+def _closed(text: Column) -> list[Column]:
+    """Cut-off texts with their ends put in: after a value, a key, or a comma."""
+    end = _closers(text)
+    whole = F.concat(text, end["quote"])
+    bare = F.regexp_replace(whole, r"[,\s]+$", "")
+    return [
+        F.concat(bare, end["brackets"]),
+        F.concat(F.regexp_replace(bare, r":\s*$", ""), F.lit(": null"), end["brackets"]),
+    ]
+
+
 def parse_answer(raw: Column) -> Column:
     """A struct ``(json, text, repair, suspect)`` for a raw answer.
 
     The strict parse comes first, since repairing a valid text would double its
     escapes. ``repair`` says which attempt succeeded (0 strict, 1 every lone
-    backslash doubled, 2 the same but pairs left alone) and is NULL when none did.
-    ``text`` is the text that parsed; it keeps the order of keys, which ``json``
-    does not. ``suspect`` marks valid text whose escapes became control characters, the
-    sign of a LaTeX command read as an escape.
+    backslash doubled, 2 the same but pairs left alone, 3 the same with a cut-off end
+    closed) and is NULL when none did. ``text`` is the text that parsed; it keeps the
+    order of keys, which ``json`` does not. ``suspect`` marks valid text whose escapes
+    became control characters, the sign of a LaTeX command read as an escape.
     """
     text = strip_fences(raw)
     every = F.regexp_replace(text, rf"\\(?!{GENUINE_ESCAPE})", r"\\\\")
     paired = F.regexp_replace(
         text, rf"(?<!\\)((?:\\\\)*)\\(?!{GENUINE_ESCAPE})", r"$1\\\\"
     )
-    tries = [F.try_parse_json(t) for t in (text, every, paired)]
-    return F.struct(
-        F.coalesce(*tries).alias("json"),
-        F.when(tries[0].isNotNull(), text)
-        .when(tries[1].isNotNull(), every)
-        .when(tries[2].isNotNull(), paired)
-        .alias("text"),
-        F.when(tries[0].isNotNull(), 0)
-        .when(tries[1].isNotNull(), 1)
-        .when(tries[2].isNotNull(), 2)
-        .alias("repair"),
-        (tries[0].isNotNull() & text.rlike(r"\\[bfrt][A-Za-z]")).alias("suspect"),
+    starts = paired.rlike(r"^[\[{]")
+    closed = [F.when(starts, t) for t in _closed(paired)]
+
+    def first(*tries: tuple[Column, int]) -> Column:
+        """The first text that parses, with its value."""
+        listed = F.array(*[F.struct(t.alias("text"), F.lit(k).alias("repair")) for t, k in tries])
+        tried = F.transform(
+            listed,
+            lambda a: F.struct(F.try_parse_json(a["text"]).alias("json"), a["text"].alias("text"), a["repair"].alias("repair")),
+        )
+        return F.get(F.filter(tried, lambda t: t["json"].isNotNull()), F.lit(0))
+
+    # Repairs are worked out only where what stands before them failed.
+    found = F.coalesce(first((text, 0)), first((every, 1), (paired, 2)), first((closed[0], 3), (closed[1], 3)))
+    told = F.transform(
+        F.array(found),
+        lambda f: F.struct(
+            f["json"].alias("json"),
+            f["text"].alias("text"),
+            f["repair"].alias("repair"),
+            F.coalesce((f["repair"] == 0) & f["text"].rlike(r"\\[bfrt][A-Za-z]"), F.lit(False)).alias("suspect"),
+        ),
     )
+    return F.get(told, F.lit(0))
 
 
 def _typed(json: Column, path: str, schema: str) -> Column:

@@ -65,9 +65,16 @@ def write_markdown(snapshot: DataFrame, path: str) -> None:
 
 
 def csv_lines(snapshot: DataFrame) -> DataFrame:
-    """Each card as a CSV line with doubled quotes: ``(subject, deck, nid, line)``."""
+    """``(subject, deck, part, nid, line)``: the header of a subject, then its cards, quotes doubled.
+
+    The lines of a subject in (part, deck, nid) order are its CSV file.
+    """
     line = F.to_csv(F.struct(*CSV_COLUMNS), CSV_OPTIONS)
-    return snapshot.select("subject", "deck", "nid", line.alias("line"))
+    header = snapshot.select("subject").distinct().select(
+        "subject", F.lit("").alias("deck"), F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("nid"),
+        F.lit(",".join(CSV_COLUMNS)).alias("line"),
+    )
+    return header.unionByName(snapshot.select("subject", "deck", F.lit(1).alias("part"), "nid", line.alias("line")))
 
 
 CSV_OPTIONS = {
@@ -80,14 +87,12 @@ CSV_OPTIONS = {
 
 
 def write_csv(snapshot: DataFrame, path: str) -> None:
-    """A folder of CSV files per subject, each with the header line."""
-    ordered = _in_order(snapshot.select("subject", *CSV_COLUMNS, "nid"), "subject", "deck", "nid")
+    """A folder per subject; its files in name order are one CSV document with one header."""
+    ordered = _in_order(csv_lines(snapshot), "subject", "part", "deck", "nid")
     (
-        ordered.select("subject", *CSV_COLUMNS)
+        ordered.select("subject", "line")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .option("header", "true")
-        .options(**CSV_OPTIONS)
         .partitionBy("subject")
-        .csv(path)
+        .text(path)
     )

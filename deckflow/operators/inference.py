@@ -64,17 +64,24 @@ def cached_inference(
 ) -> DataFrame:
     """Answers to ``requests``, sending only what the store at ``path`` lacks.
 
-    Successful answers are stored by request hash before anything uses them, so a
-    repeated task or a second run does not send them again. Failures are stored
-    too, for the report, but are sent again next time.
+    Answers are stored by request hash before anything uses them, and a later run does
+    not send those requests again. They are stored when the job that sends them ends: a
+    task that is repeated, and a job that fails, send again what they had sent. Failures
+    are stored too, for the report, but are sent again next time. ``sent`` tells the
+    answers of this call from those that were stored before.
     """
     spark = requests.sparkSession
     answered = read_responses(spark, path).where("error IS NULL").select("request_hash")
-    missing = requests.join(answered, "request_hash", "left_anti")
+    missing = materialize(requests.join(answered, "request_hash", "left_anti"), "missing")
     infer_requests(missing, infer, parallelism).write.mode("append").parquet(path)
     stored = read_responses(spark, path)
     asked = requests.select("request_hash").distinct()
-    return latest_answer(stored.join(asked, "request_hash", "left_semi"))
+    now = missing.select("request_hash").distinct().withColumn("sent", F.lit(True))
+    return (
+        latest_answer(stored.join(asked, "request_hash", "left_semi"))
+        .join(now, "request_hash", "left")
+        .withColumn("sent", F.coalesce("sent", F.lit(False)))
+    )
 
 
 def latest_answer(stored: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ from deckflow.session import materialize
 # --- fixed values -----------------------------------------------------------
 UNKNOWN_DECK = "Unknown"
 CARD_ID_GAP = 100_000
-EXISTING_RECALL = 30
-EXISTING_PROBLEM = 20
 # ----------------------------------------------------------------------------
 
 # Numbering looks at this many consecutive ordinals of a deck at a time.
@@ -176,23 +174,9 @@ def card_snapshot(notes: DataFrame, cards: DataFrame, decks: DataFrame) -> DataF
     )
 
 
-def existing_questions(
-    snapshot: DataFrame, recall: int = EXISTING_RECALL, problem: int = EXISTING_PROBLEM
-) -> DataFrame:
-    """The first stored questions of every deck, by note id, with their place.
-
-    The rank filter reaches the shuffle as a group limit, so a large deck sends
-    only its first rows.
-    """
-    place = F.row_number().over(Window.partitionBy("subject", "deck").orderBy("nid"))
-    most = max(recall, problem)
-    limit = F.when(F.col("deck").endswith("::Problems"), problem).otherwise(recall)
-    return (
-        snapshot.select("subject", "deck", "nid", "question")
-        .withColumn("place", place)
-        .where(F.col("place") <= most)
-        .where(F.col("place") <= limit)
-    )
+def existing_questions(snapshot: DataFrame) -> DataFrame:
+    """The stored questions of every deck; their order is that of the note ids."""
+    return snapshot.select("subject", "deck", "nid", "question")
 
 
 def added_counts(inserted: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def assemble_slides(spark, sf_dir):
       GROUP BY conv_id)
     SELECT conv_id, coalesce(CASE WHEN trim(a.text, {inputs.BLANKS}) <> '' THEN a.text END,
              trim(d.text, {inputs.BLANKS}), '') AS text
-    FROM assembled a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d ON a.conv_id = d.doc_id""")
+    FROM assembled a LEFT JOIN documents d ON a.conv_id = d.doc_id""")
 def sidecar_fallback(spark, sf_dir):
     scanned = F.when(F.expr("conv_id % 3 = 0"), F.lit("  ")).otherwise(F.col("text"))
     pages = table(spark, sf_dir, "conversations").select(
@@ -168,7 +168,6 @@ def sidecar_fallback(spark, sf_dir):
     )
     sidecars = (
         table(spark, sf_dir, "documents")
-        .where("doc_id % 2 = 0")
         .select(F.col("doc_id").alias("conv_id"), F.col("text").alias("sidecar"))
     )
     return parts.with_sidecar(parts.assemble_pages(pages, ["conv_id"]), sidecars, ["conv_id"])
@@ -208,11 +207,11 @@ def ledger_pending(spark, sf_dir):
 
 @query(other_sql(f"""WITH {inputs.MEMBERS_SQL},
     outcome AS (SELECT folder, sum(quality) AS total_added, max(toxic) = 1 AS had_error
-                FROM docs JOIN labels USING (doc_id) WHERE (doc_id {{div}} 3) % 2 = 0 GROUP BY folder),
+                FROM docs JOIN labels USING (doc_id) GROUP BY folder),
     fresh AS (SELECT path, sha256(text) AS sha256, base_name AS themes,
                 CASE WHEN total_added > 0 THEN 'in' || replace(folder[5:], ' ', '_') || '.apkg' END AS artifact
               FROM members JOIN outcome USING (folder) WHERE NOT (had_error AND total_added = 0)),
-    old AS (SELECT path, 'old' AS sha256, 'before' AS themes, NULL AS artifact FROM docs WHERE doc_id % 4 = 0)
+    old AS (SELECT path, 'old' AS sha256, 'before' AS themes, NULL AS artifact FROM docs)
     SELECT path, sha256, themes, coalesce(artifact, '') AS artifact FROM fresh
     UNION ALL
     SELECT path, sha256, themes, '' FROM old WHERE path NOT IN (SELECT path FROM fresh)"""))
@@ -224,13 +223,12 @@ def ledger_commit(spark, sf_dir):
         .select("path", "sha256", F.col("folder").alias("subject"), F.array("base_name").alias("themes"))
     )
     outcome = (
-        docs.where("(doc_id div 3) % 2 = 0")
-        .join(table(spark, sf_dir, "labels"), "doc_id")
+        docs.join(table(spark, sf_dir, "labels"), "doc_id")
         .groupBy(F.col("folder").alias("subject"))
         .agg(F.sum("quality").alias("total_added"), F.bool_or(F.col("toxic") == 1).alias("had_error"))
     )
     new = ledger.committable(members, outcome, text.artifact_name(F.col("subject")))
-    old = docs.where("doc_id % 4 = 0").select(
+    old = docs.select(
         "path",
         F.lit("old").alias("sha256"),
         F.array(F.lit("before")).alias("themes"),
@@ -334,22 +332,55 @@ def _aliases(spark, sf_dir):
     return themes.alias_map(themes.alias_entries(inputs.resolutions(spark, sf_dir)))
 
 
-def _resolved_by_alias(spark, sf_dir):
-    """Names an answer mentions; the forgotten ones are left to the fuzzy fallback."""
-    proposed = themes.proposed_themes(inputs.analyses(spark, sf_dir))
-    return themes.lookup_themes(proposed, _aliases(spark, sf_dir)).where("canonical IS NOT NULL")
+def _resolved(spark, sf_dir):
+    """Every proposed name: by alias, and those that no answer lists by the closest canonical."""
+    return themes.resolve_themes(themes.proposed_themes(inputs.analyses(spark, sf_dir)), _aliases(spark, sf_dir))
+
 
+# Similarity of two texts: twice the letters in common blocks over all letters, where the
+# longest common block (the first in a, then in b) parts both texts, again and again.
+_RESOLVED_SQL = (
+    inputs.ENTRIES_SQL.replace("themes AS (", "RECURSIVE themes AS (", 1)
+    + """,
+missed AS (SELECT DISTINCT t.subject, t.name FROM themes t ANTI JOIN alias_map m ON t.subject = m.subject AND t.name = m.alias),
+pairs AS (
+  SELECT row_number() OVER () AS p, subject, name, canonical AS a, name AS b
+  FROM missed JOIN (SELECT DISTINCT subject, canonical FROM alias_map) USING (subject)),
+cells AS (
+  SELECT p, i, j, i - row_number() OVER (PARTITION BY p, j - i ORDER BY i) AS run
+  FROM (SELECT p, a, b, i, unnest(range(1, len(b) + 1)) AS j
+        FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM pairs)) WHERE a[i] = b[j]),
+runs AS (SELECT p, i, j, max(i) OVER (PARTITION BY p, j - i, run) - i + 1 AS n FROM cells),
+blocks(p, alo, ahi, blo, bhi, n) AS (
+  SELECT p, 1::BIGINT, len(a), 1::BIGINT, len(b), 0::BIGINT FROM pairs
+  UNION ALL
+  SELECT p, CASE side WHEN 1 THEN alo ELSE best[2] + best[1] END, CASE side WHEN 1 THEN best[2] - 1 ELSE ahi END,
+         CASE side WHEN 1 THEN blo ELSE best[3] + best[1] END, CASE side WHEN 1 THEN best[3] - 1 ELSE bhi END,
+         CASE side WHEN 1 THEN best[1] ELSE 0 END
+  FROM (SELECT k.p, alo, ahi, blo, bhi,
+               arg_max([least(r.n, ahi - i + 1, bhi - j + 1), i, j],
+                       least(r.n, ahi - i + 1, bhi - j + 1) * 1000000 - i * 1000 - j) AS best
+        FROM blocks k JOIN runs r ON k.p = r.p AND i BETWEEN alo AND ahi AND j BETWEEN blo AND bhi
+        GROUP BY ALL), (VALUES (1), (2)) sides(side)),
+scored AS (
+  SELECT subject, name, a AS canonical, 2.0::DOUBLE * total / (len(a) + len(b)) AS ratio
+  FROM pairs JOIN (SELECT p, sum(n) AS total FROM blocks GROUP BY p) USING (p)),
+resolved AS (
+  SELECT DISTINCT t.subject, t.name, m.canonical, 'alias' AS how
+  FROM themes t JOIN alias_map m ON t.subject = m.subject AND t.name = m.alias
+  UNION ALL
+  SELECT subject, name, max((ratio, canonical))[2], 'closest' FROM scored GROUP BY subject, name)"""
+)
 
 _ITEMS_SQL = (
-    inputs.ENTRIES_SQL
+    _RESOLVED_SQL
     + """,
-items AS (
-  SELECT t.*, m.canonical FROM themes t JOIN alias_map m ON t.subject = m.subject AND t.name = m.alias)"""
+items AS (SELECT t.*, r.canonical FROM themes t JOIN resolved r ON t.subject = r.subject AND t.name = r.name)"""
 )
 
 
 def _items(spark, sf_dir):
-    return themes.theme_items(inputs.analyses(spark, sf_dir), _resolved_by_alias(spark, sf_dir))
+    return themes.theme_items(inputs.analyses(spark, sf_dir), _resolved(spark, sf_dir))
 
 
 @query(f"""WITH {_ITEMS_SQL} SELECT subject, folder, base_name,
@@ -393,28 +424,25 @@ def theme_resolve(spark, sf_dir):
     )
 
 
-@query()
+@query(f"WITH {_RESOLVED_SQL} SELECT subject, name, canonical, how FROM resolved")
 def theme_fuzzy_fallback(spark, sf_dir):
-    proposed = themes.proposed_themes(inputs.analyses(spark, sf_dir))
-    return themes.resolve_themes(proposed, _aliases(spark, sf_dir))
+    return _resolved(spark, sf_dir)
 
 
 _REGISTRY_SQL = f"""
+held AS (
+  SELECT subject, name, {inputs.CANONICAL} AS canonical, {inputs.REGISTRY_RUN} AS gen, min(p_partkey) AS k
+  FROM themes GROUP BY ALL),
 old AS (
-  SELECT DISTINCT subject, canonical, NULL AS alias, 0 AS gen, 0 AS c, -1 AS a FROM names
-  WHERE length(canonical) % 2 = 0
-  UNION ALL
-  SELECT subject, canonical, name, 0, 0, r FROM (
-    SELECT *, row_number() OVER (PARTITION BY subject, canonical ORDER BY name DESC) - 1 AS r FROM names
-    WHERE length(canonical) % 2 = 0) WHERE r < 3)"""
+  SELECT subject, canonical, NULL AS alias, min(gen) AS gen, 0 AS c, -1 AS a FROM held GROUP BY subject, canonical
+  UNION ALL SELECT subject, canonical, name, gen, 0, 1000000000 - k FROM held)"""
 
 
 @query(f"""WITH {inputs.ENTRIES_SQL}, {_REGISTRY_SQL},
     merged AS (
       SELECT * FROM old UNION ALL
-      SELECT subject, canonical, CASE WHEN a >= 0 THEN alias END, 1, part * 1000000 + c, a FROM entries),
-    firsts AS (SELECT subject, canonical, alias, min(gen * 1000000000000000 + c * 1000000 + a + 1) AS o
-               FROM merged GROUP BY ALL)
+      SELECT subject, canonical, CASE WHEN a >= 0 THEN alias END, 3, part * 1000000 + c, a FROM entries),
+    firsts AS (SELECT subject, canonical, alias, min((gen, c, a)) AS o FROM merged GROUP BY subject, canonical, alias)
     SELECT subject, canonical, coalesce(string_agg(alias, '|' ORDER BY o), '') AS aliases
     FROM firsts GROUP BY subject, canonical""")
 def registry_upsert(spark, sf_dir):
@@ -539,20 +567,9 @@ def card_snapshot(spark, sf_dir):
     return _snapshot(spark, sf_dir)
 
 
-_EXISTING_SQL = (
-    inputs.SNAPSHOT_SQL
-    + """,
-existing AS (
-  SELECT * FROM (SELECT subject, deck, nid, question,
-                        row_number() OVER (PARTITION BY subject, deck ORDER BY nid) AS place FROM snapshot)
-  WHERE place <= CASE WHEN ends_with(deck, '::Problems') THEN 20 ELSE 30 END)"""
-)
-
-
-@query(f"WITH {_EXISTING_SQL} SELECT subject, deck, nid, question, place FROM existing")
+@query(f"WITH {inputs.SNAPSHOT_SQL} SELECT subject, deck, nid, question FROM snapshot")
 def existing_questions(spark, sf_dir):
-    found = store.existing_questions(_snapshot(spark, sf_dir))
-    return found.select("subject", "deck", "nid", "question", *big("place"))
+    return store.existing_questions(_snapshot(spark, sf_dir))
 
 
 # --- exports ------------------------------------------------------------------------
@@ -572,8 +589,10 @@ def _csv_field(name: str) -> str:
     return f"""CASE WHEN regexp_matches({name}, '[",\\r\\n]') THEN '"' || replace({name}, '"', '""') || '"' ELSE {name} END"""
 
 
-@query(f"""WITH {inputs.SNAPSHOT_SQL} SELECT subject, deck, nid,
-      {" || ',' || ".join(_csv_field(c) for c in exports.CSV_COLUMNS)} AS line FROM snapshot""")
+@query(f"""WITH {inputs.SNAPSHOT_SQL}
+    SELECT DISTINCT subject, '' AS deck, 0 AS part, 0::BIGINT AS nid, '{",".join(exports.CSV_COLUMNS)}' AS line FROM snapshot
+    UNION ALL SELECT subject, deck, 1, nid,
+      {" || ',' || ".join(_csv_field(c) for c in exports.CSV_COLUMNS)} FROM snapshot""")
 def export_csv(spark, sf_dir):
     return exports.csv_lines(_snapshot(spark, sf_dir))
 
@@ -623,88 +642,98 @@ _LABEL_SQL = "CASE doc_type " + " ".join(
 @query(f"""WITH {inputs.MEMBERS_SQL}, p AS (
       SELECT *, unnest(range(0, greatest(ceil(length(text) / 8000)::BIGINT, 1))) AS part FROM members)
     SELECT folder, base_name, part, string_agg('=== ' || {_LABEL_SQL} || ' — ' || name || ' ===' || chr(10)
-        || substr(text, part * 8000 + 1, 8000), chr(10) || chr(10) ORDER BY path) AS prompt
+        || substr(text, part * 8000 + 1, 8000), chr(10) || chr(10) ORDER BY ext_rank, path) AS prompt
     FROM p GROUP BY ALL""")
 def analysis_requests(spark, sf_dir):
     docs = inputs.named_documents(spark, sf_dir)
-    members = grouping.group_files(_groups(docs)).join(docs.select("path", "name", "text"), "path")
-    return requests.analysis_requests(members, "path").select(
+    members = grouping.group_files(_groups(docs)).join(
+        docs.select("path", "name", "text", "ext_rank"), "path"
+    )
+    return requests.analysis_requests(members, "ext_rank", "path").select(
         "folder", "base_name", *big("part"), "prompt"
     )
 
 
+# Small requests, so that most keys take several.
+_FEW = 6
+_PART_SQL = "('0x' || md5({0})[1:8])::BIGINT % {1}"
+
+
 @query(f"""WITH {inputs.THEMES_SQL}, {_REGISTRY_SQL},
-    known AS (SELECT subject, '["' || string_agg(DISTINCT canonical, '","' ORDER BY canonical) || '"]' AS existing
-              FROM old GROUP BY subject),
-    asked AS (SELECT subject, '["' || string_agg(name, '","' ORDER BY name) || '"]' AS proposed
-              FROM names GROUP BY subject)
-    SELECT subject, 0::BIGINT AS part, 'Subject: ' || subject || chr(10) || chr(10) || 'Existing themes in the registry:' || chr(10)
-      || coalesce(existing, '[] (none yet)') || chr(10) || chr(10) || 'Themes proposed by the new document:'
-      || chr(10) || proposed || chr(10) || chr(10)
-      || 'Resolve each proposed theme against the existing themes.' AS prompt
-    FROM asked LEFT JOIN known USING (subject)""")
+    rows AS (SELECT subject, name, true AS new FROM names
+             UNION ALL SELECT DISTINCT subject, canonical, false FROM old WHERE subject IN (SELECT subject FROM names)),
+    dealt AS (SELECT subject, {_PART_SQL.format("name", "parts")} AS part, name, new FROM rows
+              JOIN (SELECT subject, ceil(count(*) / {_FEW})::BIGINT AS parts FROM rows GROUP BY subject) USING (subject)),
+    lists AS (SELECT subject, part,
+                '["' || string_agg(name, '","' ORDER BY name) FILTER (WHERE NOT new) || '"]' AS existing,
+                '["' || string_agg(name, '","' ORDER BY name) FILTER (WHERE new) || '"]' AS proposed
+              FROM dealt GROUP BY subject, part)
+    SELECT subject, part, '{requests.SUBJECT}' || subject || chr(10) || chr(10) || '{requests.EXISTING_THEMES}' || chr(10)
+      || coalesce(existing, '{requests.NO_THEMES}') || chr(10) || chr(10) || '{requests.PROPOSED_THEMES}'
+      || chr(10) || proposed || chr(10) || chr(10) || '{requests.RESOLVE}' AS prompt
+    FROM lists WHERE proposed IS NOT NULL""")
 def resolution_requests(spark, sf_dir):
     proposed = themes.proposed_themes(inputs.analyses(spark, sf_dir))
-    return requests.resolution_requests(proposed, inputs.registry(spark, sf_dir))
+    return requests.resolution_requests(proposed, inputs.registry(spark, sf_dir), items=_FEW)
 
 
 # Decks of the card store are given to the themes of the same number.
-def _card_request_sql(column: str, heading: str, again: str, closing: str, how: str, limit: int, suffix: str) -> str:
+def _card_request_sql(column: str, heading: str, again: str, closing: str, how: str, suffix: str) -> str:
     return f"""WITH {_ITEMS_SQL},
     t AS (SELECT DISTINCT subject, canonical FROM items),
     pieces AS (SELECT subject, canonical, folder, base_name, theme_no, unnest({column}) AS item,
                       generate_subscripts({column}, 1) AS item_no FROM items),
-    bullets AS (SELECT subject, canonical, string_agg('- ' || item, chr(10)
-                  ORDER BY folder, base_name, theme_no, item_no) AS bullets FROM pieces GROUP BY ALL),
-    old AS (SELECT subject, canonical || '{suffix}' AS theme, 'About ' || base_name AS question,
-                   row_number() OVER (PARTITION BY subject, canonical ORDER BY p_partkey) AS place
-            FROM items WHERE p_partkey % 9 = 0),
-    asked AS (SELECT subject, theme, '["' || string_agg(question, '","' ORDER BY place) || '"]' AS asked
-              FROM old WHERE place <= {limit} GROUP BY ALL)
-    SELECT t.subject, t.canonical, 0::BIGINT AS part, t.subject || '::' || t.canonical || '{suffix}' AS deck,
-      'Subject: ' || t.subject || chr(10) || 'Theme: ' || t.canonical || chr(10) || chr(10) || '{heading}' || chr(10)
-      || coalesce(bullets, '') || chr(10)
+    bullets AS (SELECT subject, canonical, parts, {_PART_SQL.format("(folder || '/' || base_name)", "parts")} AS part,
+                  string_agg('- ' || item, chr(10) ORDER BY folder, base_name, theme_no, item_no) AS bullets
+                FROM pieces JOIN (SELECT subject, canonical, ceil(count(*) / {_FEW})::BIGINT AS parts FROM pieces GROUP BY ALL)
+                  USING (subject, canonical) GROUP BY ALL),
+    old AS (SELECT subject, canonical || '{suffix}' AS theme, 'About ' || base_name AS question, p_partkey FROM items),
+    asked AS (SELECT subject, theme, lists, {_PART_SQL.format("question", "lists")} AS list,
+                '["' || string_agg(question, '","' ORDER BY p_partkey) || '"]' AS asked
+              FROM old JOIN (SELECT subject, theme, ceil(count(*) / {_FEW})::BIGINT AS lists FROM old GROUP BY ALL)
+                USING (subject, theme) GROUP BY ALL)
+    SELECT t.subject, t.canonical, coalesce(part, 0) + coalesce(list, 0) * coalesce(parts, 1) AS part,
+      t.subject || '::' || t.canonical || '{suffix}' AS deck,
+      '{requests.SUBJECT}' || t.subject || chr(10) || '{requests.THEME}' || t.canonical || chr(10) || chr(10)
+      || '{heading}' || chr(10) || coalesce(bullets, '') || chr(10)
       || coalesce(chr(10) || '{again}' || chr(10) || asked || chr(10), '')
       || chr(10) || '{closing}' AS prompt
     FROM t {how} JOIN bullets b ON t.subject = b.subject AND t.canonical = b.canonical
     LEFT JOIN asked a ON t.subject = a.subject AND t.canonical || '{suffix}' = a.theme"""
 
 
-def _asked_before(spark, sf_dir, suffix: str) -> DataFrame:
-    """Earlier questions on some themes, as the store would list them."""
-    rows = inputs.theme_rows(spark, sf_dir).where("p_partkey % 9 = 0")
-    found = rows.join(_resolved_by_alias(spark, sf_dir), ["subject", "name"])
-    held = found.select(
+def _asked_before(items, suffix: str) -> DataFrame:
+    """Earlier questions on the themes, as the store would list them."""
+    held = items.select(
         "subject",
         F.concat_ws("::", "subject", "canonical", *([F.lit(suffix)] if suffix else [])).alias("deck"),
-        F.col("p_partkey").alias("nid"),
+        F.expr("4 * int(substr(base_name, 5)) + theme_no").cast("bigint").alias("nid"),
         F.concat(F.lit("About "), "base_name").alias("question"),
     )
     return store.existing_questions(held)
 
 
 @query(_card_request_sql(
-    "recall_concepts", "Concepts to cover:", "Already existing questions for this theme (DO NOT duplicate):",
-    "Generate RECALL flashcards.", "LEFT", 30, ""))
+    "recall_concepts", requests.RECALL_ITEMS, requests.RECALL_ASKED, requests.RECALL_CLOSING, "LEFT", ""))
 def recall_requests(spark, sf_dir):
     items = materialize(_items(spark, sf_dir), "items")
     return requests.recall_requests(
         themes.subject_canonicals(items),
         themes.theme_content(items, "recall_concepts"),
-        _asked_before(spark, sf_dir, ""),
+        _asked_before(items, ""),
+        items=_FEW,
     )
 
 
 @query(_card_request_sql(
-    "problem_types", "Problem types / exercise patterns to cover:",
-    "Already existing problem questions for this theme (DO NOT duplicate):",
-    "Generate PROBLEM-TYPE flashcards.", "INNER", 20, "::Problems"))
+    "problem_types", requests.PROBLEM_ITEMS, requests.PROBLEM_ASKED, requests.PROBLEM_CLOSING, "INNER", "::Problems"))
 def problem_requests(spark, sf_dir):
     items = materialize(_items(spark, sf_dir), "items")
     return requests.problem_requests(
         themes.subject_canonicals(items),
         themes.theme_content(items, "problem_types"),
-        _asked_before(spark, sf_dir, "Problems"),
+        _asked_before(items, "Problems"),
+        items=_FEW,
     )
 
 

@@ -8,7 +8,7 @@ third of its rows, as real subjects may.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deckflow.functions.ids import BASE62_DIGITS
@@ -200,31 +200,28 @@ def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REGISTRY_RUN = "CASE WHEN length(name) % 2 = 0 THEN 1 ELSE 2 END"
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A registry from earlier runs: some canonicals, names in falling order."""
+    """A registry of two earlier runs: every name, in falling order of its first part."""
     names = (
         theme_rows(spark, sf_dir)
-        .select("subject", "name")
-        .distinct()
-        .withColumn("w", F.expr(FIRST_WORD))
-        .withColumn("canonical", F.expr(CANONICAL))
-        .where("length(canonical) % 2 = 0")
-    )
-    own = names.select("subject", "canonical").distinct().select(
-        "subject", "canonical", F.lit(None).cast("string").alias("alias"), F.lit(-1).alias("a")
-    )
-    falling = (
-        names.groupBy("subject", "canonical")
-        .agg(F.sort_array(F.collect_list("name"), asc=False).alias("names"))
-        .select("subject", "canonical", F.posexplode(F.slice("names", 1, 3)).alias("a", "alias"))
-        .select("subject", "canonical", "alias", "a")
-    )
-    return own.unionByName(falling).select(
-        "subject",
-        "canonical",
-        "alias",
-        F.struct(F.lit(0).alias("c"), F.col("a")).alias("ordinal"),
+        .groupBy("subject", "name")
+        .agg(F.min("p_partkey").alias("k"))
+        .select("subject", "name", F.expr(CANONICAL).alias("canonical"), F.expr(REGISTRY_RUN).alias("gen"), "k")
     )
+    own = names.groupBy("subject", "canonical").agg(F.min("gen").alias("gen"))
+    place = {c: F.lit(0).cast("bigint").alias(c) for c in ("part", "c")}
+
+    def ordinal(a: Column) -> Column:
+        return F.struct(
+            F.col("gen").cast("bigint").alias("gen"), F.lit(0).alias("new"), *place.values(), a.cast("bigint").alias("a")
+        ).alias("ordinal")
+
+    return own.select(
+        "subject", "canonical", F.lit(None).cast("string").alias("alias"), ordinal(F.lit(-1))
+    ).unionByName(names.select("subject", "canonical", F.col("name").alias("alias"), ordinal(1_000_000_000 - F.col("k"))))
 
 
 THEMES_SQL = other_sql(f"""

@@ -33,7 +33,7 @@ STORE_SCHEMA = (
 )
 REGISTRY_SCHEMA = (
     "subject string, canonical string, alias string,"
-    " ordinal struct<gen:int,new:int,part:bigint,c:bigint,a:bigint>, run bigint"
+    " ordinal struct<gen:bigint,new:int,part:bigint,c:bigint,a:bigint>, run bigint"
 )
 
 # Reads one file: rows of (page or slide number from 1, shape number, text).
@@ -117,7 +117,6 @@ def read_analyses(asked: DataFrame, told: DataFrame, root: str) -> DataFrame:
         .agg(
             F.array_sort(F.collect_list(one)).alias("parts"),
             F.bool_or(F.col("json").isNull()).alias("failed"),
-            *[F.sum(c).alias(c) for c in report.COUNTS],
         )
         .where("NOT failed")
     )
@@ -127,7 +126,6 @@ def read_analyses(asked: DataFrame, told: DataFrame, root: str) -> DataFrame:
         "folder",
         "base_name",
         F.flatten("parts.themes").alias("themes"),
-        *report.COUNTS,
     ).where("subject IS NOT NULL")
 
 
@@ -178,7 +176,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     )
     usable = materialize(
         grouping.usable_documents(members, documents).join(
-            pending.select("path", "name", "sha256"), "path"
+            pending.select("path", "name", "sha256", "ext_rank"), "path"
         ),
         "documents",
     )
@@ -190,20 +188,26 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         )
         return asked, materialize(told, f"{stage}-told")
 
-    asked, told = ask(requests.analysis_requests(usable, "path"), "analysis")
+    asked, told = ask(requests.analysis_requests(usable, "ext_rank", "path"), "analysis")
     analyses = materialize(read_analyses(asked, told, root), "analyses")
+    told_subject = answers.subject_of(answers.parse_answer(F.col("raw"))["json"])
+    analysis_usage = asked.join(told, "request_hash").select(
+        F.coalesce(text.subject_of_folder(F.col("folder"), root, told_subject), F.lit("")).alias("subject"),
+        "sent",
+        *report.COUNTS,
+    )
     if analyses.isEmpty():
         return {"pending": pending, "unreadable": unreadable, "analyses": analyses}
 
     # Canonical themes per subject; a subject whose answer failed is left for next time.
     registry = read_or_empty(spark, p.path("registry"), REGISTRY_SCHEMA)
     known = registry.groupBy("subject", "canonical", "alias").agg(
-        F.min(F.struct("run", "ordinal"))["ordinal"].alias("ordinal")
+        F.min("ordinal").alias("ordinal")
     )
     proposed = themes.proposed_themes(analyses)
     asked, told = ask(requests.resolution_requests(proposed, known), "resolution")
     parsed = asked.join(told, "request_hash").select(
-        "subject", "part", answers.parse_answer(F.col("raw")).alias("a"), *report.COUNTS
+        "subject", "part", answers.parse_answer(F.col("raw")).alias("a"), "sent", *report.COUNTS
     )
     failed = parsed.where("a.json IS NULL").select("subject").distinct()
     resolutions = materialize(
@@ -212,7 +216,6 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
             "part",
             answers.resolved_of(F.col("a.text")).alias("resolved"),
             answers.new_themes_of(F.col("a.json")).alias("new_themes"),
-            *report.COUNTS,
         ),
         "resolutions",
     )
@@ -261,7 +264,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     ).drop("vec")
     kept = materialize(kept, "kept")
     if p.against_stored:
-        kept = _unlike_stored(kept, held, p.threshold)
+        kept = _unlike_stored(kept, held, p)
 
     # Insert what the store lacks, in one append.
     fresh = store.new_cards(kept, held, F.col("ordinal"))
@@ -283,7 +286,11 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         .parquet(p.path("store"))
     )
     grown = themes.registry_upsert(known, resolutions, p.register_new)
-    added_names = grown.where("ordinal.gen = 1").withColumn("run", F.lit(now_ms))
+    added_names = (
+        grown.where(F.col("ordinal.gen") == themes.FRESH)
+        .withColumn("ordinal", F.col("ordinal").withField("gen", F.lit(now_ms).cast("bigint")))
+        .withColumn("run", F.lit(now_ms).cast("bigint"))
+    )
     added_names.write.mode("append").parquet(p.path("registry"))
 
     # Full snapshots of the subjects of this run.
@@ -304,10 +311,12 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         ),
         "outcome",
     )
-    usage = report.token_usage(
-        analyses, resolutions, recall_asked.join(recall_told, "request_hash"),
+    # Every answer of this run counts, also one that could not be read; stored ones do not.
+    calls = (
+        analysis_usage, parsed, recall_asked.join(recall_told, "request_hash"),
         problem_asked.join(problem_told, "request_hash"),
     )
+    usage = report.token_usage(*[c.where("sent") for c in calls])
     themed = themes.group_themes(items)
     entries = ledger.committable(
         usable.join(themed, ["folder", "base_name"]).select("subject", "path", "sha256", "themes"),
@@ -337,27 +346,34 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     }
 
 
-def _confirmation(cards: DataFrame, p: Params) -> neardup.Confirm:
+def _confirmation(cards: DataFrame, p: Params, id: str = "card_no") -> neardup.Confirm:
     return inference.confirm_pairs(
-        cards.select(F.col("card_no").alias("id"), "question", "answer"),
-        p.path("responses"),
-        p.infer,
-        p.parallelism,
+        cards.select(F.col(id).alias("id"), "question", "answer"), p.path("responses"), p.infer, p.parallelism
     )
 
 
-def _unlike_stored(cards: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+def _unlike_stored(cards: DataFrame, held: DataFrame, p: Params) -> DataFrame:
     """Cards that are no near-duplicate of a stored one either.
 
-    Stored cards come first in the order, so they are never dropped for a new one.
+    Only new cards are compared with stored ones: a stored card drops a new one also
+    where it is itself close to another stored card. Vectors of a model are those of
+    this run, so cards of both kinds are embedded together.
     """
     subjects = cards.select("subject").distinct()
     old = held.join(subjects, "subject", "left_semi").select(
-        "subject",
+        "subject", "question", "answer",
         F.concat(F.lit("0"), F.col("subject"), F.lit("\x1f"), F.col("guid")).alias("at"),
         text.card_text(F.col("question"), F.col("answer")).alias("text"),
+    )
+    new = cards.select("subject", "question", "answer", F.concat(F.lit("1"), F.col("card_no")).alias("at"), "text")
+    both = materialize(old.unionByName(new), "old-and-new")
+    compared, vector = both, None
+    if p.embedders:
+        vectors = embedding.embed_texts(both, "at", "subject", "text", p.embedders)
+        compared, vector = both.join(vectors.select(F.col("id").alias("at"), "vec"), "at"), "vec"
+    pairs = neardup.pairs_between(
+        compared, "at", "subject", vector or "text", F.col("id").startswith("0"), p.threshold, vector=bool(vector)
     )
-    new = cards.select("subject", F.concat(F.lit("1"), F.col("card_no")).alias("at"), "text")
-    drops = neardup.text_drops(old.unionByName(new), "at", "subject", "text", threshold)
-    by_old = drops.where(F.col("id").startswith("1") & F.col("kept_id").startswith("0"))
-    return cards.join(by_old.select(F.expr("substr(id, 2)").alias("card_no")), "card_no", "left_anti")
+    if p.confirm:
+        pairs = _confirmation(both, p, "at")(pairs)
+    return cards.join(pairs.select(F.expr("substr(j, 2)").alias("card_no")).distinct(), "card_no", "left_anti")

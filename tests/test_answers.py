@@ -49,8 +49,24 @@ def test_mixed_escapes_take_the_last_repair(spark):
 
 
 def test_unreadable_answer_has_no_value(spark):
-    value, row = parse(spark, '{"a": "cut off')
-    assert value is None and row.repair is None
+    for raw in ("no answer", '{"a" 1}', ""):
+        value, row = parse(spark, raw)
+        assert value is None and row.repair is None, raw
+
+
+def test_cut_off_answer_is_closed(spark):
+    for raw, expected in (
+        ('{"a": "cut off', {"a": "cut off"}),
+        ('{"a": [1, {"b": "x"}, ', {"a": [1, {"b": "x"}]}),
+        ('{"a": {"b": [[], {}, "]"', {"a": {"b": [[], {}, "]"]}}),
+        ('{"a": 1, "b', {"a": 1, "b": None}),
+        ('{"a": 1, "b":', {"a": 1, "b": None}),
+        ('{"a": "quote \\" in', {"a": 'quote " in'}),
+        ('{"a": "slash \\', {"a": "slash \\"}),
+        ('```json\n{"a": ["' + "x" * 50_000, {"a": ["x" * 50_000]}),
+    ):
+        value, row = parse(spark, raw)
+        assert value == expected and row.repair == 3
 
 
 def test_valid_text_with_lost_command_is_suspect(spark):
