@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from deckflow.llm.common import keep_rows, slices, text_rows
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.07
 BLOCK_BYTES = 1 << 20
 _PLAIN = bytes(
     ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)
