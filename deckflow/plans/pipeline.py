@@ -63,7 +63,8 @@ class Params:
 
 def read_documents(pending: DataFrame, content: DataFrame, sidecars: DataFrame, decode: Decoder | None):
     """Texts of the files, and the files that could not be read with their error."""
-    raw = files.with_format(pending).join(content, "path")
+    raw = files.with_format(pending).join(content.withColumnRenamed("error", "unread"), "path")
+    raw = raw.withColumn("error", F.coalesce("error", "unread")).drop("unread")
     usable, bad = inference.quarantine(raw, F.col("error"))
     plain = usable.where("format = 'text'").select(
         "path", "folder", "stem", files.decode_text(F.col("content")).alias("text")
@@ -150,12 +151,12 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     root = p.input_dir.rstrip("/")
     artifact = text.artifact_name(F.col("subject"))
 
-    found = files.read_files(spark, root, p.extensions)
+    found = files.find_files(spark, root, p.extensions)
     held = read_or_empty(spark, p.path("store"), STORE_SCHEMA)
     log = read_or_empty(spark, p.path("ledger"), ledger.LEDGER_SCHEMA)
     present = held.select("subject").distinct().select(artifact.alias("artifact"))
     pending, seen = materialize_measured(
-        ledger.pending_files(found.drop("content"), ledger.latest_entries(log), present),
+        ledger.pending_files(found, ledger.latest_entries(log), present),
         "pending",
         n=F.count(F.lit(1)),
     )
@@ -170,7 +171,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     chosen = pending.join(members.select("path"), "path", "left_semi")
     documents, unreadable = read_documents(
         chosen,
-        files.read_content(chosen, seen["n"], root, p.extensions),
+        files.read_content(chosen, root),
         files.read_sidecars(spark, root),
         p.decode,
     )

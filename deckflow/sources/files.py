@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import os
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.session import materialize_measured
+
 # --- fixed values -----------------------------------------------------------
 EXTENSIONS = (".pdf", ".pptx", ".ppt", ".md", ".txt")
 SYNC_ARTIFACTS = r"^(\.syncthing|syncthing-)"
@@ -16,10 +22,6 @@ SLIDE_FORMATS = (".pptx", ".ppt")
 TEXT_FORMATS = (".md", ".txt")
 # ----------------------------------------------------------------------------
 
-# Up to this many files are opened by name rather than found by another scan.
-NAMED_FILES = 10_000
-
-
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``folder``, ``name``, ``stem`` and ``ext`` (with its dot) of a path."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -75,47 +77,96 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _binary(spark: SparkSession) -> DataFrameReader:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+def _store(root: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of ``root``, its path there, and what full names have before such paths."""
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    if "://" not in root:
+        root = os.path.abspath(root)
+    fs, path = pafs.FileSystem.from_uri(root)
+    return fs, path, root[: -len(path)] if path and root.endswith(path) else ""
+
 
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(path)`` of every file below ``root``, whatever its name.
 
-def _plain_path() -> Column:
-    return F.regexp_replace("path", r"^file:(//)?", "").alias("path")
+    Folders are listed in tasks, one round for each level of the tree. (Spark's own
+    listing leaves out names that begin with ``_`` or a dot.)
+    """
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, before = _store(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(folder.removeprefix(before)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([before + f.path for f in found], pa.string()),
+                        pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_()),
+                    ],
+                    ["path", "is_folder"],
+                )
+
+    _, top, before = _store(root)
+    level, out = spark.createDataFrame([(before + top.rstrip("/"),)], "path string"), None
+    while True:
+        found, seen = materialize_measured(
+            level.mapInArrow(children, "path string, is_folder boolean"), "listing", folders=F.count_if("is_folder")
+        )
+        files = found.where("NOT is_folder").select("path")
+        out = files if out is None else out.unionByName(files)
+        if not seen["folders"]:
+            return out
+        level = _dealt(found.where("is_folder").select("path"))
 
 
-def read_files(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
-    """All supported files below ``root``: path parts, content and its hash."""
-    found = (
-        _binary(spark)
-        .option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
-        .load(root)
-        .select(_plain_path(), "content")
-    )
-    named = without_artifacts(by_extension(with_path_parts(found), extensions))
-    return named.withColumn("sha256", content_hash(F.col("content")))
+def _dealt(paths: DataFrame) -> DataFrame:
+    """Names spread over tasks: they are few bytes, what they name is many."""
+    return paths.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def read_content(files: DataFrame, n: int, root: str, extensions=EXTENSIONS) -> DataFrame:
-    """``(path, content)`` of some of the files below ``root``; ``n`` is how many.
+def _opened(paths: DataFrame, root: str, content: bool) -> DataFrame:
+    """Add ``sha256``, ``error`` and, if asked for, ``content``; a file that cannot be read has an error only."""
 
-    Few files, as in most runs, are opened by name. For many, all are scanned again
-    and the caller's join keeps the right ones.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, before = _store(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                data, error = None, None
+                try:
+                    with fs.open_input_file(path.removeprefix(before)) as file:
+                        data = file.readall()
+                except OSError as e:  # gone, or not ours to read
+                    error = f"{type(e).__name__}: {e}"
+                digest = None if data is None else hashlib.sha256(data).hexdigest()
+                columns = [pa.array([x], pa.string()) for x in (path, digest, error)]
+                names = ["path", "sha256", "error"]
+                if content:
+                    columns, names = [*columns, pa.array([data], pa.binary())], [*names, "content"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "path string, sha256 string, error string" + ", content binary" * content
+    return _dealt(paths).mapInArrow(read, schema)
+
+
+def find_files(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
+    """All supported files below ``root``: path parts and the hash of the content (null if unreadable)."""
+    named = without_artifacts(by_extension(with_path_parts(list_files(spark, root)), extensions))
+    return named.join(_opened(named.select("path"), root, content=False).drop("error"), "path")
+
+
+def read_content(files: DataFrame, root: str) -> DataFrame:
+    """``(path, content, error)`` of files below ``root``, each opened by its name.
+
+    A file that is gone meanwhile, or cannot be read, has an error and no content.
     """
-    spark = files.sparkSession
-    if n > NAMED_FILES:
-        return read_files(spark, root, extensions).select("path", "content")
-    names = [re.sub(r"([\\\[\]{}*?])", r"\\\1", r.path) for r in files.select("path").collect()]
-    return _binary(spark).load(names).select(_plain_path(), "content")
+    return _opened(files.select("path"), root, content=True).drop("sha256")
 
 
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """Text read off scanned documents beforehand: ``(folder, stem, sidecar)``."""
-    found = (
-        _binary(spark)
-        .option("pathGlobFilter", "*" + SIDECAR_SUFFIX)
-        .load(root)
-        .select(_plain_path(), decode_text(F.col("content")).alias("sidecar"))
-    )
-    parts = with_path_parts(found)
+    found = list_files(spark, root).where(F.col("path").endswith(SIDECAR_SUFFIX))
+    texts = read_content(found, root).where("error IS NULL").select("path", decode_text(F.col("content")).alias("sidecar"))
+    parts = with_path_parts(texts)
     cut = (F.length("name") - len(SIDECAR_SUFFIX)).cast("int")
     return parts.select("folder", F.substr("name", F.lit(1), cut).alias("stem"), "sidecar")

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from deckflow.sources import files, parts
@@ -8,11 +10,12 @@ def test_files_are_found_by_extension(spark, tmp_path):
     course.mkdir()
     for name in ("a.md", "b.txt", "c.MD", "d.html", ".syncthing.a.md", "syncthing-x.txt", "s.ocr.md"):
         (course / name).write_bytes(b"ok \xff")
-    found = files.read_files(spark, str(tmp_path)).collect()
+    found = files.find_files(spark, str(tmp_path)).collect()
     assert sorted(r.name for r in found) == ["a.md", "b.txt"]
     assert {r.folder for r in found} == {str(course)}
     assert {r.stem for r in found} == {"a", "b"}
-    text = files.read_files(spark, str(tmp_path)).select(files.decode_text(F.col("content"))).first()[0]
+    content = files.read_content(spark.createDataFrame([(f"{course}/a.md",)], "path string"), str(tmp_path))
+    text = content.select(files.decode_text(F.col("content"))).first()[0]
     assert text == "ok �"
 
 
@@ -47,12 +50,27 @@ def test_slides_keep_their_numbers(spark):
     assert parts.assemble_slides(shapes, ["path"]).first().text == "[Slide 1]\none\ntwo\n\n[Slide 10]\nthree"
 
 
-def test_files_are_opened_by_name(spark, tmp_path, monkeypatch):
-    odd = ["a [1].md", "b{x}*.txt", "c?, d.md"]
+def test_files_are_opened_by_name(spark, tmp_path):
+    odd = ["a [1].md", "b{x}*.txt", "c?, d.md", "_draft.md", ".hidden.md"]
     for name in odd:
         (tmp_path / name).write_text(name)
-    found = files.read_files(spark, str(tmp_path)).drop("content").where("name <> 'c?, d.md'")
-    for limit in (10, 1):  # by name, then by another scan
-        monkeypatch.setattr(files, "NAMED_FILES", limit)
-        got = found.join(files.read_content(found, 2, str(tmp_path)), "path")
-        assert {r.name: bytes(r.content).decode() for r in got.collect()} == {n: n for n in odd[:2]}
+    for folder in ("_old", ".kept", "deep/er"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.md").write_text(folder)
+    found = files.find_files(spark, str(tmp_path)).where("name <> 'c?, d.md'")
+    assert {r.name for r in found.collect()} == {*odd, "x.md"} - {"c?, d.md"}
+    got = found.join(files.read_content(found, str(tmp_path)), "path").collect()
+    texts = sorted(bytes(r.content).decode() for r in got)
+    assert texts == sorted([*(n for n in odd if n != "c?, d.md"), "_old", ".kept", "deep/er"])
+    assert all(r.sha256 == hashlib.sha256(r.content).hexdigest() and r.error is None for r in got)
+
+
+def test_a_file_that_is_gone_is_an_error_row(spark, tmp_path):
+    (tmp_path / "a.md").write_text("a")
+    gone = spark.createDataFrame([(str(tmp_path / "a.md"),), (str(tmp_path / "b.md"),)], "path string")
+    rows = {r.path[-4:]: r for r in files.read_content(gone, str(tmp_path)).collect()}
+    assert rows["a.md"].error is None and rows["b.md"].content is None and "FileNotFound" in rows["b.md"].error
+
+
+def test_an_empty_folder(spark, tmp_path):
+    assert files.find_files(spark, str(tmp_path)).count() == 0
