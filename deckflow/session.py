@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -45,8 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+# Folders of intermediate tables that this process made and did not discard.
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/deckflow/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/deckflow/{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return f"{folder}/{name}"
+
+
+def discard_scratch() -> None:
+    """Delete the intermediate tables made so far; frames that still read them end.
+
+    For a caller that is through with the results of a run. Nothing else deletes them,
+    because frames that a run returns are read from them.
+    """
+    while _MADE:
+        uri = _MADE.pop()
+        if uri.startswith("file:"):
+            uri = "/" + uri.removeprefix("file:").lstrip("/")
+        fs, path = pafs.FileSystem.from_uri(uri)
+        if fs.get_file_info(path).type != pafs.FileType.NotFound:
+            fs.delete_dir(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
