@@ -5,7 +5,7 @@ import re
 
 import duckdb
 import numpy as np
-from conftest import PROSE, fresh
+from samples import PROSE, fresh
 from deckflow.llm import language, quality, toxicity
 from deckflow.llm.queries import QUERIES
 

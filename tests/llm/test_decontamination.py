@@ -1,6 +1,6 @@
 import random
 
-from conftest import PROSE, fresh
+from samples import PROSE, fresh
 from deckflow.llm import decontamination as d
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 from compare import difference
-from conftest import PROSE
+from samples import PROSE
 from deckflow.llm import licenses
 
 

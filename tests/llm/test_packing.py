@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-from conftest import *  # noqa: F403
 from deckflow.llm import packing, tokens
 
 

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import PROSE, fresh
+from samples import PROSE, fresh
 from deckflow.llm import substrings
 
 
