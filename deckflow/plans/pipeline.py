@@ -206,7 +206,12 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         F.min("ordinal").alias("ordinal")
     )
     proposed = themes.proposed_themes(analyses)
-    asked, told = ask(requests.resolution_requests(proposed, known), "resolution")
+    asked, told = ask(
+        requests.resolution_requests(proposed, known).unionByName(
+            requests.further_resolution_requests(proposed, known)
+        ),
+        "resolution",
+    )
     parsed = asked.join(told, "request_hash").select(
         "subject", "part", answers.parse_answer(F.col("raw")).alias("a"), "sent", *report.COUNTS
     )
@@ -220,7 +225,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         ),
         "resolutions",
     )
-    aliases = themes.alias_map(themes.alias_entries(resolutions))
+    aliases = themes.alias_map(themes.merged_entries(themes.alias_entries(resolutions), known))
     built = analyses.join(resolutions.select("subject").distinct(), "subject", "left_semi")
     resolved = themes.resolve_themes(themes.proposed_themes(built), aliases)
     items = materialize(themes.theme_items(built, resolved), "items")

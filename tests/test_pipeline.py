@@ -160,6 +160,28 @@ def test_new_cards_may_be_compared_with_stored_ones(spark, course):
     assert pipeline.run(spark, p, now_ms=2_000)["inserted"].count() == 0
 
 
+def test_a_large_registry_is_seen_as_a_whole(spark, course):
+    class Finds(Model):
+        def resolution(self, prompt):
+            known, proposed = [
+                json.loads(prompt.split(h + "\n")[1].split("\n")[0].replace(" (none yet)", ""))
+                for h in ("in the registry:", "proposed by the new document:")
+            ]
+            hits = {k: [p for p in proposed if f"registered {p}" == k] for k in known}
+            hits = {k: ps for k, ps in hits.items() if ps}
+            return {"resolved": hits, "new_themes": [p for p in proposed if [p] not in hits.values()]}
+
+    p = params(course, Finds())
+    names = [f"registered {t}" for t in ("Limits", "Limitz", "Testing")] + [f"other {k}" for k in range(6_500)]
+    rows = [("My Course", n, None, (1, 0, 0, k, -1), 1) for k, n in enumerate(names)]
+    spark.createDataFrame(rows, pipeline.REGISTRY_SCHEMA).write.parquet(p.path("registry"))
+    got = pipeline.run(spark, p, now_ms=1_000)
+    themes = {r.deck.split("::")[1] for r in got["inserted"].collect() if r.subject == "My Course"}
+    assert themes == {"registered Limits", "registered Limitz", "registered Testing", "Bayes"}
+    held = {r.canonical for r in spark.read.parquet(p.path("registry")).collect() if r.subject == "My Course"}
+    assert held == {*names, "Bayes"}
+
+
 def test_embedders_may_replace_terms(spark, course):
     def broken(texts):
         raise RuntimeError("no such model")
