@@ -1,7 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join with license templates.
 
 A text block (a line) meets a template if it holds at least ``threshold`` of the template's
-distinct words. Words are ordered by how many blocks have them, the rarest first. A block
+distinct words; so do, with ``over_lines``, as many words in a row as the template has, and
+a few more, wherever lines end. Words are ordered by how many blocks have them, the rarest first. A block
 with at least ``need`` of a template's ``n`` words must have one of the first
 ``n - need + 1`` (prefix), must have at least ``need`` words (length), and the words behind
 the matched one, on both sides, must suffice (position). What is left is verified.
@@ -151,18 +152,68 @@ def matches(
     )
 
 
+def _span_words(text: str, threshold: float) -> int:
+    """Words in a row that a wrapped template may take: its own, and as many others as it may lack."""
+    distinct = len(template_words(text))
+    return len("".join(c if c.isalnum() else " " for c in text).split()) + distinct - needed(distinct, threshold)
+
+
+def spans(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, key, label, containment``: the best words in a row, over line ends, that meet ``threshold``.
+
+    Only a text that has enough of a template's words anywhere is searched for it, and only
+    from those words on. Words in a row within one line are part of its block.
+    """
+    sets = [(label, template_words(text), _span_words(text, threshold)) for label, text in templates]
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, ws, _ in sets for w in ws})])
+    held = (
+        docs.filter(F.col("text").contains("\n"))
+        .select("doc_id", F.xxhash64("text").alias("key"), words("text").alias("words"))
+        .select("doc_id", "key", "words", F.array_intersect("words", vocabulary).alias("hits"))
+    )
+
+    def most(ws: list[str], length: int) -> Column:
+        """The most words of a template that stand within ``length`` words in a row."""
+        wanted, need = F.array(*[F.lit(w) for w in ws]), needed(len(ws), threshold)
+        starts = F.filter(F.transform("words", lambda w, i: F.when(w.isin(ws), i)), lambda i: i.isNotNull())
+        counts = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i + 1, length), wanted)))
+        return F.when(F.size(F.array_intersect("hits", wanted)) >= need, F.array_max(counts))
+
+    found = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("label"),
+                (most(ws, length) / F.lit(len(ws))).alias("containment"),
+                F.lit(needed(len(ws), threshold) / len(ws)).alias("least"),
+            )
+            for label, ws, length in sets
+        ]
+    )
+    return (
+        held.select("doc_id", "key", F.explode(found).alias("f"))
+        .filter("f.containment >= f.least")
+        .select("doc_id", "key", "f.label", "f.containment")
+    )
+
+
 def scan(
     docs: DataFrame,
     templates: tuple = TEMPLATES,
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    over_lines: bool = False,
 ) -> DataFrame:
-    """Phrases and labels of every text; ``score`` is the highest containment that was met, or 0."""
+    """Phrases and labels of every text; ``score`` is the highest containment that was met, or 0.
+
+    With ``over_lines`` templates that are wrapped over lines are found too (``spans``).
+    """
     rows = text_rows(docs, id_col, text_col)
+    blocks = matches(rows, templates, threshold).select("doc_id", "key", "label", "containment")
+    if over_lines:
+        blocks = blocks.unionByName(spans(rows, templates, threshold))
     met = (
-        matches(rows, templates, threshold)
-        .groupBy("doc_id", "key")
+        blocks.groupBy("doc_id", "key")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
         .withColumnsRenamed({"doc_id": "met_id", "key": "met_key"})
     )

@@ -46,7 +46,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), over_lines=True)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

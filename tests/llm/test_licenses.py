@@ -51,3 +51,19 @@ def test_edges(spark, edges):
 def test_main_path_is_native(spark, edges):
     plan = licenses.scan(edges)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("template", licenses.TEMPLATES)
+def test_wrapped_templates_are_found(spark, template):
+    import textwrap
+
+    label, text = template
+    wraps = [textwrap.fill(f"{lead} {text}.", 70, initial_indent=mark, subsequent_indent=mark) for lead in ("See below.", "w " * 30) for mark in ("", " * ", "# ")]
+    halves = text.split()
+    far = " ".join(halves[: len(halves) // 2]) + "\n" + "pad " * 60 + "\n" + " ".join(halves[len(halves) // 2 :])
+    narrow = textwrap.fill(text, 20)
+    table = spark.createDataFrame(list(enumerate([*wraps, narrow, far])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(table, over_lines=True).collect()}
+    for i in range(len(wraps) + 1):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0
+    assert rows[len(wraps) + 1].score < 1.0
