@@ -3,8 +3,8 @@
 Toxic documents go; of each group of near-duplicates (SimHash) the document with the least
 id stays; documents with a benchmark passage go; personal data is replaced in the texts;
 what is left is packed into sequences. All stages but the last return the columns of
-``documents``. Rows without id cannot be told apart by it: of those that are equal in
-text, one stays.
+``documents``. Of rows of a group that share the least id, and of a group of rows without
+id, one stays, by fingerprint and hash of the text.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, shingle=4, distance=4)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stay = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    first = simhash.first_rows(docs, shingle=4, distance=4).withColumnRenamed("key", "first_key")
+    same = docs["doc_id"].eqNullSafe(first["first_id"]) & (F.xxhash64(docs["text"]) == first["first_key"])
+    stay = docs.join(first, same, "left_semi")
     return stay.dropDuplicates(["doc_id", "text"])
 
 

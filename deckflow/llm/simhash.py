@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deckflow.llm.common import slices, text_rows
@@ -68,19 +68,24 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", keys: bool = False
 ) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, fp``: the fingerprint as a signed long; with ``keys`` also ``key``, a hash of the text."""
+    texts = text_rows(docs, id_col, text_col)
+    if keys:
+        texts = texts.withColumn("key", F.xxhash64("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 got = [fingerprint(t, shingle) for t in some.column("text").to_pylist()]
+                key = [some.column("key")] if keys else []
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"]
+                    [some.column("doc_id"), pa.array(np.array(got, np.uint64).view(np.int64)), *key],
+                    ["doc_id", "fp", "key"][: 2 + keys],
                 )
 
-    return text_rows(docs, id_col, text_col).mapInArrow(rows, "doc_id long, fp long")
+    return texts.mapInArrow(rows, "doc_id long, fp long" + ", key long" * keys)
 
 
 def _flips(bits: int, radius: int) -> np.ndarray:
@@ -210,17 +215,39 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id, fp, component_id``: the least id that links of ``distance`` reach."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    rooted = _rooted(rows, F.col("doc_id"), distance)
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.select("fp", "root").join(named, "root").drop("root"), "fp").select(
+        "doc_id", "fp", "component_id"
+    )
+
+
+def _rooted(rows: DataFrame, order: Column, distance: int) -> DataFrame:
+    """``fp, least, root``: each fingerprint with the least ``order`` of its rows and the root of its component."""
     distinct, seen = materialize_measured(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", n=F.count("*")
+        rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct", n=F.count("*")
     )
     nodes = components(links(distinct, seen["n"], distance))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    return distinct.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(named, "root").drop("root"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+
+
+def first_rows(
+    docs: DataFrame,
+    shingle: int = 4,
+    distance: int = 4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``first_id, key``: one row of each component, by least id (rows without id last), fingerprint and text hash.
+
+    ``key`` is ``xxhash64`` of the text, so that rows that share an id are told apart.
+    """
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col, keys=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key")
+    first = _rooted(rows, order, distance).groupBy("root").agg(F.min("least").alias("first"))
+    return first.select(F.col("first.doc_id").alias("first_id"), "first.key")
 
 
 def hexadecimal(fp: str = "fp"):

@@ -78,3 +78,16 @@ def test_stages_take_odd_tables(spark, edges, position):
         assert bool(rows) == (docs is edges)
     if position == 1:
         assert sorted(str(r.doc_id) for r in stage(spark, edges, SF).collect()) == ["1", "3", "6", "7", "8"]
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    from samples import fresh
+
+    a, b, c = (fresh(n, 300) for n in (21, 22, 23))
+    rows = [
+        (1, a), (None, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"),
+        (2, c), (3, c), (3, a), (3, fresh(24, 300)), (2, c + " end"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.removesuffix(" end")) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (2, c), (3, fresh(24, 300))], key=str)
