@@ -2,7 +2,7 @@
 
 Toxic documents go; of each group of near-duplicates (SimHash) the document with the least
 id stays; documents with a benchmark passage go; personal data is replaced in the texts;
-what is left is packed into sequences. All stages but the last return the columns of
+what is left is packed into sequences, whose token ids the result holds. All stages but the last return the columns of
 ``documents``. Of rows of a group that share the least id, and of a group of rows without
 id, one stays, by fingerprint and hash of the text.
 """
@@ -39,7 +39,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(materialize(packing.pieces(docs, tokens.word_bpe()), "pieces"))
+    return packing.pack(materialize(packing.pieces(docs, tokens.word_bpe(), keep_ids=True), "pieces"))
 
 
 STAGES = [

@@ -91,3 +91,25 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text.removesuffix(" end")) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (None, b), (2, c), (3, fresh(24, 300))], key=str)
+
+
+def test_packed_sequences_hold_their_tokens(spark, stored):
+    import zlib
+
+    import numpy as np
+    from deckflow.llm import tokens
+
+    texts = {r.doc_id: r.text for r in stored[4].collect()}
+    sequences, pieces = {}, {}
+    for r in stored[5].collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        place = np.arange(r.offset, r.offset + r.length)
+        held = sequences.setdefault(r.sequence_id, np.full(4096, -1, np.int64))
+        assert (held[place] == -1).all()
+        held[place] = np.frombuffer(r.ids, "<u4")
+        pieces.setdefault(r.doc_id, {})[r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    words = tokens.encoder(tokens.word_bpe())
+    some = sorted(texts)[:50]
+    for doc, got in zip(some, words.encode([texts[d] for d in some])):
+        ids = [i for _, part in sorted(pieces[doc].items()) for i in part]
+        assert ids == [*np.frombuffer(got, words.dtype).tolist(), 1]
