@@ -370,6 +370,8 @@ def train(
     got = (
         text_rows(docs, id_col, text_col)
         .join(F.broadcast(ids), "doc_id")
+        # Of rows that share an id one teaches, so that the fit takes no more texts than ids.
+        .groupBy("rank").agg(F.min("text").alias("text"))
         .mapInArrow(label, "rank long, x binary, y binary")
         .repartition(1)
         .sortWithinPartitions("rank", "x", "y")

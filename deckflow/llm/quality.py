@@ -174,6 +174,9 @@ def train(
         text_rows(docs, id_col, text_col)
         .join(F.broadcast(sample), "doc_id")
         .mapInArrow(seen, "rank long, label int, at binary, share binary")
+        # Of rows that share an id one teaches, so that the fit takes no more rows than ids.
+        .groupBy("rank", "label").agg(F.min(F.struct("at", "share")).alias("least"))
+        .select("rank", "label", "least.at", "least.share")
         .repartition(1)
         .sortWithinPartitions("rank", "at", "share")
         .mapInArrow(fit, "weight binary, bias double, slope double, shift double")

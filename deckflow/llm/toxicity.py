@@ -170,6 +170,8 @@ def train(
         text_rows(docs, id_col, text_col)
         .join(F.broadcast(sample), "doc_id")
         .mapInArrow(seen, "rank long, label int, features binary")
+        # Of rows that share an id one teaches, so that the fit takes no more rows than ids.
+        .groupBy("rank", "label").agg(F.min("features").alias("features"))
         .repartition(1)
         .sortWithinPartitions("rank", "label", "features")
         .mapInArrow(fit, "at long, weight double")

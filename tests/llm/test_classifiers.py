@@ -159,3 +159,19 @@ def test_language_edges(spark, edges):
 def test_scores_ignore_other_columns(spark):
     docs = spark.createDataFrame([(1, fresh(1, 5), "q", 0.5)], "doc_id long, text string, lang_pred string, score double")
     assert language.predict(docs, language.Model([], [], [])).columns == ["doc_id", "lang_pred", "score"]
+
+
+def test_rows_that_share_an_id_teach_once(spark):
+    from deckflow.llm import pii
+
+    texts = [fresh(i, 40) + (f" call +1 (415) 555-01{i:02d} or a{i}@b.org" if i % 2 else "") for i in range(30)]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    often = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])] * 200, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, toxic int, quality int")
+    for fit, parts in (
+        (lambda docs: toxicity.train(docs, marks), ("at", "weight", "bias")),
+        (lambda docs: quality.train(docs, marks), ("weight", "bias", "slope", "shift")),
+        (pii.train, ("emission", "transition")),
+    ):
+        a, b = fit(once), fit(often)
+        assert all(np.array_equal(getattr(a, p), getattr(b, p)) for p in parts)
