@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.llm import decontamination, language, licenses, packing, pii, quality, simhash, substrings, token_files, tokens, toxicity
+from deckflow.llm import decontamination, language, licenses, merkle, packing, pii, quality, simhash, substrings, token_counts, token_files, tokens, toxicity
 from deckflow.llm.common import remainder, table
 from deckflow.session import materialize
 
@@ -79,6 +79,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), tokens.word_bpe(), limit=2048)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verify(merkle.build(merkle.leaves(docs, tampered=remainder("doc_id", 7) == 0)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -90,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
