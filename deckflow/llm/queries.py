@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.llm import decontamination, language, licenses, merkle, packing, pii, quality, simhash, substrings, token_counts, token_files, tokens, toxicity
+from deckflow.llm import decontamination, language, licenses, merkle, packing, pii, quality, simhash, spelling, substrings, token_counts, token_files, tokens, toxicity
 from deckflow.llm.common import remainder, table
 from deckflow.session import materialize
 
@@ -79,6 +79,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokens.word_bpe(), limit=2048)
 
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
     "op13_merkle": op13_merkle,
 }
@@ -106,4 +111,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_substrings": substrings.oracle_sql(),
     "op5_licenses": licenses.oracle_sql(),
+    "op11_spelling": spelling.oracle_sql(),
 }
