@@ -268,14 +268,14 @@ def _numbered(nodes: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(starts, ["grp", "part"]).withColumn("pos", F.col("row") + F.col("shift")).drop("row", "part", "shift")
 
 
-def _subtrees(nodes: DataFrame, fanout: int, below: int) -> DataFrame:
+def _subtrees(nodes: DataFrame, fanout: int, height: int, below: int) -> DataFrame:
     """One round: a stored row per run of nodes, with as many levels as its group still has."""
-    span = fanout ** levels_span(fanout)
+    span = fanout**height
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("pos")
         total = group.column("total")[0].as_py()
-        levels = min(levels_span(fanout), levels_of(total, fanout) - below)
+        levels = min(height, levels_of(total, fanout) - below)
         digests, states = subtree(words(group.column("digest").to_pylist()), levels, fanout)
         return pa.table(
             {
@@ -295,20 +295,20 @@ def _subtrees(nodes: DataFrame, fanout: int, below: int) -> DataFrame:
     return materialize(keyed.groupBy("grp", "block").applyInArrow(build, SUBTREE), "subtrees")
 
 
-def levels_span(fanout: int) -> int:
-    """Levels of a subtree: as many as ``BLOCK`` nodes allow."""
+def height_of(fanout: int, block: int) -> int:
+    """Levels of a subtree of at most ``block`` nodes."""
     n = 1
-    while fanout ** (n + 1) <= BLOCK:
+    while fanout ** (n + 1) <= block:
         n += 1
     return n
 
 
-def _forest(nodes: DataFrame, largest: int, fanout: int) -> list[DataFrame]:
+def _forest(nodes: DataFrame, largest: int, fanout: int, height: int) -> list[DataFrame]:
     """Rounds of subtrees until every group, the largest of so many nodes, has one root."""
     rounds, below = [], 0
     while True:
-        rounds.append(_subtrees(nodes, fanout, below))
-        below += levels_span(fanout)
+        rounds.append(_subtrees(nodes, fanout, height, below))
+        below += height
         if below >= levels_of(largest, fanout):
             return rounds
         done = fanout**below  # groups of so many nodes have their root
@@ -317,11 +317,11 @@ def _forest(nodes: DataFrame, largest: int, fanout: int) -> list[DataFrame]:
         )
 
 
-def _roots(rounds: list[DataFrame], fanout: int) -> DataFrame:
+def _roots(rounds: list[DataFrame], span: int) -> DataFrame:
     """``grp, digest, round``: the root of each group, from the round that reached it."""
     out = None
     for k, trees in enumerate(rounds):
-        below, reach = (fanout ** (levels_span(fanout) * n) for n in (k, k + 1))
+        below, reach = span**k, span ** (k + 1)
         reached = F.col("total") <= reach
         if k:
             reached &= F.col("total") > below
@@ -330,7 +330,7 @@ def _roots(rounds: list[DataFrame], fanout: int) -> DataFrame:
     return out
 
 
-def _paths(trees: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
+def _paths(trees: DataFrame, above: DataFrame, fanout: int, height: int) -> DataFrame:
     """``grp, block, path, subroot, top`` of every lowest node of a round, whose own path is ``above``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +342,7 @@ def _paths(trees: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
                     [tree.step(level, node // fanout**level) for level in range(len(tree.states))] + row["path"]
                     for node in range(n)
                 ]
-                first = row["block"] * fanout ** levels_span(fanout)
+                first = row["block"] * fanout**height
                 yield pa.RecordBatch.from_pydict(
                     {
                         "grp": pa.array([row["grp"]] * n, pa.string()),
@@ -369,27 +369,29 @@ class Manifest:
     trees: list[DataFrame]
     paths: DataFrame | None
     fanout: int
+    height: int
 
 
-def build(leaves: DataFrame, fanout: int = 2) -> Manifest:
+def build(leaves: DataFrame, fanout: int = 2, block: int = BLOCK) -> Manifest:
     """The manifest of ``grp, doc_id, digest, …`` (a stored table); groups ascend by ``grp``.
 
     ``leaves`` may carry further columns, such as a replacement of the digest. The driver
     sees the size of the largest group and the number of groups.
     """
+    height = height_of(fanout, block)
     placed, seen = materialize_measured(_numbered(leaves, ["doc_id", "digest"]), "leaves", largest=F.max("total"))
     if not seen["largest"]:
-        return Manifest(placed, [], None, fanout)
-    trees = _forest(placed, seen["largest"], fanout)
-    roots = _roots(trees, fanout).select(F.lit("").alias("grp"), F.col("grp").alias("of"), "digest", "round")
+        return Manifest(placed, [], None, fanout, height)
+    trees = _forest(placed, seen["largest"], fanout, height)
+    roots = _roots(trees, fanout**height).select(F.lit("").alias("grp"), F.col("grp").alias("of"), "digest", "round")
     tops, count = materialize_measured(
         _numbered(materialize(roots, "roots"), ["of"]), "group_roots", largest=F.max("total")
     )
-    over = _forest(tops, count["largest"], fanout)
+    over = _forest(tops, count["largest"], fanout, height)
     no_step, root = F.array().cast(f"array<{STEP}>"), F.col("root")
     paths = over[-1].select("grp", "block", no_step.alias("path"), root.alias("subroot"), root.alias("top"))
     for one in reversed(over):
-        paths = _paths(one, paths, fanout)
+        paths = _paths(one, paths, fanout, height)
     # A place among the groups' roots becomes the group, with its root at the end of a path.
     above = tops.join(paths.select(F.col("block").alias("pos"), "path", "top"), "pos").select(
         F.col("of").alias("grp"), F.lit(0).cast("long").alias("block"), "path", F.col("digest").alias("subroot"), "top", "round"
@@ -398,8 +400,8 @@ def build(leaves: DataFrame, fanout: int = 2) -> Manifest:
     paths = None
     for k in range(len(trees) - 1, -1, -1):
         ended = above.filter(F.col("round") == k).drop("round")
-        paths = ended if paths is None else _paths(trees[k + 1], paths, fanout).unionByName(ended)
-    return Manifest(placed, trees, materialize(paths, "paths"), fanout)
+        paths = ended if paths is None else _paths(trees[k + 1], paths, fanout, height).unionByName(ended)
+    return Manifest(placed, trees, materialize(paths, "paths"), fanout, height)
 
 
 PROOFS = (
@@ -416,7 +418,7 @@ def verify(manifest: Manifest, replaced: str = "replaced") -> DataFrame:
     spark, fanout = manifest.leaves.sparkSession, manifest.fanout
     if manifest.paths is None:
         return spark.createDataFrame([], PROOFS)
-    span = fanout ** levels_span(fanout)
+    span = fanout**manifest.height
 
     def fold(rows: pa.Table, trees: pa.Table) -> pa.Table:
         (tree,) = trees.to_pylist()
