@@ -26,7 +26,6 @@ PROBLEM_DECK = "Problems"
 
 _SPACE = r"[\s\x1c-\x1f]"
 # Anything that is not a letter, mark, digit or underscore separates terms.
-TERM_SEPARATOR = r"[^\p{L}\p{M}\p{N}_]+"
 TERM = r"[\p{L}\p{M}\p{N}_]"
 
 
@@ -96,9 +95,3 @@ def strip_fences(raw: Column) -> Column:
     """Remove a Markdown code fence around an answer."""
     opened = F.regexp_replace(strip(raw), r"(?U)^```(?:json)?\s*", "")
     return strip(F.regexp_replace(opened, r"(?U)\s*```$", ""))
-
-
-def terms(text: Column) -> Column:
-    """The distinct lower-case terms of a text."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), TERM_SEPARATOR)
-    return F.array_remove(F.array_distinct(words), "")

@@ -8,13 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.session import materialize
+from deckflow.session import materialize, materialize_measured
 
 RESPONSES_SCHEMA = (
     "request_hash string, stage string, raw string, prompt_tokens bigint,"
     " completion_tokens bigint, total_tokens bigint, error string"
 )
 
+# Requests that one job sends and stores.
+SLICE_REQUESTS = 20_000
+
 # Answers one prompt: {"raw": str, "prompt_tokens": int, "completion_tokens": int,
 # "total_tokens": int}; the token counts may be missing. It may raise.
 Infer = Callable[[str, str], dict]
@@ -52,29 +55,48 @@ def infer_requests(requests: DataFrame, infer: Infer, parallelism: int | None =
     return distinct.mapInPandas(send, RESPONSES_SCHEMA)
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Stored answers; a store that does not exist yet is empty."""
+def read_responses(spark: SparkSession, path: str, stage: str | None = None) -> DataFrame:
+    """Stored answers, of one stage if given; a store that does not exist yet is empty."""
     from deckflow.sources.tables import read_or_empty
 
-    return read_or_empty(spark, path, RESPONSES_SCHEMA)
+    stored = read_or_empty(spark, path, RESPONSES_SCHEMA)
+    return stored if stage is None else stored.where(F.col("stage") == stage)
 
 
 def cached_inference(
-    requests: DataFrame, path: str, infer: Infer, parallelism: int | None = None
+    requests: DataFrame,
+    path: str,
+    infer: Infer,
+    parallelism: int | None = None,
+    stage: str | None = None,
+    slice_requests: int = SLICE_REQUESTS,
+    all_missing: bool = False,
 ) -> DataFrame:
     """Answers to ``requests``, sending only what the store at ``path`` lacks.
 
-    Answers are stored by request hash before anything uses them, and a later run does
-    not send those requests again. They are stored when the job that sends them ends: a
-    task that is repeated, and a job that fails, send again what they had sent. Failures
-    are stored too, for the report, but are sent again next time. ``sent`` tells the
-    answers of this call from those that were stored before.
+    The store is partitioned by stage; naming the ``stage`` of the requests reads that part
+    alone. Requests are sent in slices of about ``slice_requests`` by their hash, and each
+    slice is stored by a job of its own before anything uses it: a run that is killed sends
+    the slice again that it was at, and none before it. Failures are stored too, for the
+    report, but are sent again next time. ``sent`` tells the answers of this call from
+    those that were stored before. A caller that knows that none of its requests, a stored
+    table, were answered says so with ``all_missing``.
     """
     spark = requests.sparkSession
-    answered = read_responses(spark, path).where("error IS NULL").select("request_hash")
-    missing = materialize(requests.join(answered, "request_hash", "left_anti"), "missing")
-    infer_requests(missing, infer, parallelism).write.mode("append").parquet(path)
-    stored = read_responses(spark, path)
+    if all_missing:
+        missing, n = requests, requests.count()
+    else:
+        answered = read_responses(spark, path, stage).where("error IS NULL").select("request_hash")
+        missing, seen = materialize_measured(
+            requests.join(answered, "request_hash", "left_anti"), "missing", n=F.count("*")
+        )
+        n = seen["n"]
+    slices = -(-n // slice_requests)
+    place = F.conv(F.substr("request_hash", F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    for k in range(slices):
+        some = missing.where(place % slices == k) if slices > 1 else missing
+        infer_requests(some, infer, parallelism).write.mode("append").partitionBy("stage").parquet(path)
+    stored = read_responses(spark, path, stage)
     asked = requests.select("request_hash").distinct()
     now = missing.select("request_hash").distinct().withColumn("sent", F.lit(True))
     return (
@@ -103,25 +125,26 @@ def confirm_pairs(
     """A confirmation of near-duplicate pairs by a model.
 
     ``cards`` has ``id, question, answer``. The result takes ``(block, i, j,
-    similarity)`` and returns the pairs whose answer is an explicit yes; a failed or
-    unreadable answer keeps both cards.
+    similarity)``, asks about each of these pairs, and returns those whose answer is an
+    explicit yes; a failed or unreadable answer keeps both cards. No two calls may ask
+    about one pair.
     """
     from deckflow.functions.answers import parse_answer, redundant_of
     from deckflow.operators.requests import as_requests, confirm_requests
 
+    nothing_stored: list[bool] = []
+
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
         for side in ("i", "j"):
-            pairs = pairs.join(
-                cards.select(
-                    F.col("id").alias(side),
-                    F.col("question").alias(f"question_{side}"),
-                    F.col("answer").alias(f"answer_{side}"),
-                ),
-                side,
-            )
+            names = {"id": side, "question": f"question_{side}", "answer": f"answer_{side}"}
+            pairs = pairs.join(cards.select("id", "question", "answer").withColumnsRenamed(names), side)
         asked = as_requests(confirm_requests(pairs), "confirm")
-        told = cached_inference(asked.select("request_hash", "stage", "prompt"), path, infer, parallelism)
+        asked = materialize(asked.select("block", "i", "j", "similarity", "request_hash", "stage", "prompt"), "confirm")
+        if not nothing_stored:
+            nothing_stored.append(read_responses(asked.sparkSession, path, "confirm").isEmpty())
+        told = cached_inference(
+            asked.select("request_hash", "stage", "prompt"), path, infer, parallelism, "confirm", all_missing=nothing_stored[0]
+        )
         yes = told.where(redundant_of(parse_answer(F.col("raw"))["json"])).select("request_hash")
         return asked.join(yes, "request_hash", "left_semi").select("block", "i", "j", "similarity")
 

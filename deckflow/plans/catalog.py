@@ -662,16 +662,15 @@ _PART_SQL = "('0x' || md5({0})[1:8])::BIGINT % {1}"
 @query(f"""WITH {inputs.THEMES_SQL}, {_REGISTRY_SQL},
     rows AS (SELECT subject, name, true AS new FROM names
              UNION ALL SELECT DISTINCT subject, canonical, false FROM old WHERE subject IN (SELECT subject FROM names)),
-    dealt AS (SELECT subject, {_PART_SQL.format("name", "parts")} AS part, name, new FROM rows
+    dealt AS (SELECT subject, parts, {_PART_SQL.format("name", "parts")} AS part, name, new FROM rows
               JOIN (SELECT subject, ceil(count(*) / {_FEW})::BIGINT AS parts FROM rows GROUP BY subject) USING (subject)),
-    lists AS (SELECT subject, part,
-                '["' || string_agg(name, '","' ORDER BY name) FILTER (WHERE NOT new) || '"]' AS existing,
-                '["' || string_agg(name, '","' ORDER BY name) FILTER (WHERE new) || '"]' AS proposed
-              FROM dealt GROUP BY subject, part)
-    SELECT subject, part, '{requests.SUBJECT}' || subject || chr(10) || chr(10) || '{requests.EXISTING_THEMES}' || chr(10)
-      || coalesce(existing, '{requests.NO_THEMES}') || chr(10) || chr(10) || '{requests.PROPOSED_THEMES}'
-      || chr(10) || proposed || chr(10) || chr(10) || '{requests.RESOLVE}' AS prompt
-    FROM lists WHERE proposed IS NOT NULL""")
+    lists AS (SELECT subject, parts, part, new, '["' || string_agg(name, '","' ORDER BY name) || '"]' AS names
+              FROM dealt GROUP BY subject, parts, part, new)
+    SELECT a.subject, a.part + coalesce(k.part, 0) * a.parts AS part,
+      '{requests.SUBJECT}' || a.subject || chr(10) || chr(10) || '{requests.EXISTING_THEMES}' || chr(10)
+      || coalesce(k.names, '{requests.NO_THEMES}') || chr(10) || chr(10) || '{requests.PROPOSED_THEMES}'
+      || chr(10) || a.names || chr(10) || chr(10) || '{requests.RESOLVE}' AS prompt
+    FROM lists a LEFT JOIN (FROM lists WHERE NOT new) k USING (subject) WHERE a.new""")
 def resolution_requests(spark, sf_dir):
     proposed = themes.proposed_themes(inputs.analyses(spark, sf_dir))
     return requests.resolution_requests(proposed, inputs.registry(spark, sf_dir), items=_FEW)
@@ -845,18 +844,23 @@ def quarantine_split(spark, sf_dir):
 # --- near-duplicates ---------------------------------------------------------------------------
 
 _TERMS_SQL = r"""
-sets AS (
-  SELECT doc_id AS id, lang AS block, list_filter(list_distinct(regexp_split_to_array(lower(text),
-           '[^\p{L}\p{M}\p{N}_]+')), lambda t: t <> '') AS terms FROM documents),
-posts AS (SELECT id, block, len(terms) AS n, unnest(terms) AS term FROM sets)"""
+posts AS (
+  SELECT id, block, term, count(*) AS n FROM (
+    SELECT doc_id AS id, lang AS block, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}_]+')) AS term FROM documents)
+  WHERE term <> '' GROUP BY ALL),
+squares AS (SELECT id, block, sum(n * n)::BIGINT AS square FROM posts GROUP BY ALL)"""
 
+# Zero is the cosine of texts without a common term; the others reach the threshold in whole numbers.
 _TEXT_EDGES_SQL = (
     _TERMS_SQL
     + """,
-near AS (
-  SELECT a.id AS i, b.id AS j, count(*) / sqrt(any_value(a.n)::DOUBLE * any_value(b.n)) AS similarity,
-         count(*) * count(*) * 625 >= any_value(a.n) * any_value(b.n) * 484 AS close
+dots AS (
+  SELECT a.id AS i, b.id AS j, sum(a.n * b.n)::HUGEINT AS dot
   FROM posts a JOIN posts b ON a.block = b.block AND a.term = b.term AND a.id < b.id GROUP BY a.id, b.id),
+near AS (
+  SELECT i, j, dot::DOUBLE / sqrt(a.square::DOUBLE * b.square) AS similarity,
+         dot * dot * 625 >= a.square::HUGEINT * b.square * 484 AS close
+  FROM dots JOIN squares a ON a.id = i JOIN squares b ON b.id = j),
 edges AS (SELECT i, j, similarity FROM near WHERE close)"""
 )
 _VECTOR_EDGES_SQL = """
@@ -883,14 +887,13 @@ kept AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY n DESC L
 drops AS (SELECT j AS id, min(i) AS kept_id FROM edges WHERE i IN (SELECT id FROM kept) GROUP BY j)"""
 
 
-@query(f"""WITH {_TERMS_SQL} SELECT id AS doc_id, term, round(1 / sqrt(n::DOUBLE), 9) AS weight FROM posts""")
+@query(f"""WITH {_TERMS_SQL} SELECT p.id AS doc_id, term, round(n / sqrt(square::DOUBLE), 9) AS weight
+    FROM posts p JOIN squares USING (id)""")
 def embed_terms(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", text.terms(F.col("text")).alias("terms")
-    )
-    weight = F.round(1 / F.sqrt(F.size("terms").cast("double")), 9)
-    return docs.select("doc_id", weight.alias("weight"), F.explode("terms").alias("term")).select(
-        "doc_id", "term", "weight"
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counted = neardup.counted_terms(docs, "text")
+    return counted.select("doc_id", "square", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(
+        "doc_id", F.col("t.terms").alias("term"), F.round(F.col("t.counts") / F.sqrt(F.col("square").cast("double")), 9).alias("weight")
     )
 
 

@@ -54,6 +54,8 @@ class Params:
     register_new: bool = True
     confirm: bool = True
     against_stored: bool = False
+    # A request lists about this many names, concepts or questions.
+    request_items: int = requests.REQUEST_ITEMS
     # Tried in order; without any, cards are compared by their terms.
     embedders: tuple[embedding.Embedder, ...] = ()
 
@@ -185,7 +187,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     def ask(prompts: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
         asked = materialize(requests.as_requests(prompts, stage), stage)
         told = inference.cached_inference(
-            asked.select("request_hash", "stage", "prompt"), p.path("responses"), p.infer, p.parallelism
+            asked.select("request_hash", "stage", "prompt"), p.path("responses"), p.infer, p.parallelism, stage
         )
         return asked, materialize(told, f"{stage}-told")
 
@@ -206,12 +208,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         F.min("ordinal").alias("ordinal")
     )
     proposed = themes.proposed_themes(analyses)
-    asked, told = ask(
-        requests.resolution_requests(proposed, known).unionByName(
-            requests.further_resolution_requests(proposed, known)
-        ),
-        "resolution",
-    )
+    asked, told = ask(requests.resolution_requests(proposed, known, p.request_items), "resolution")
     parsed = asked.join(told, "request_hash").select(
         "subject", "part", answers.parse_answer(F.col("raw")).alias("a"), "sent", *report.COUNTS
     )
@@ -236,11 +233,11 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         held.select("subject", "deck", "nid", "question")
     )
     recall_asked, recall_told = ask(
-        requests.recall_requests(canonicals, themes.theme_content(items, "recall_concepts"), existing),
+        requests.recall_requests(canonicals, themes.theme_content(items, "recall_concepts"), existing, p.request_items),
         "recall",
     )
     problem_asked, problem_told = ask(
-        requests.problem_requests(canonicals, themes.theme_content(items, "problem_types"), existing),
+        requests.problem_requests(canonicals, themes.theme_content(items, "problem_types"), existing, p.request_items),
         "problem",
     )
     made = store.union_cards(
