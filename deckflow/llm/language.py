@@ -12,8 +12,9 @@ The trees are fitted on a sample of labelled texts bounded per language by
 ``sample_rows``; grams are counted in Spark, and contexts seen fewer than ``min_count``
 times are cut off.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a
-null language or text teach nothing; if no language was learnt, every text is ``und``;
+Defined cases: a text that is null or has no letter is ``und`` with score 0, and a very long
+one is coded whole, in pieces that know the bytes before them; rows with a null id, language
+or text teach nothing; equal rows teach once, rows that share an id teach each its language; if no language was learnt, every text is ``und``;
 ties go to the first language in order; repeated rows get equal results; an empty table
 gives no rows; other columns are not read.
 """
@@ -34,15 +35,20 @@ from deckflow.llm.common import slices, text_rows
 ORDER = 3
 SAMPLE_ROWS = 600
 MIN_COUNT = 2
+#: Bytes of a text that one numpy step works on.
+PIECE_BYTES = 1 << 21
+#: Parts of the range of hashes in which the rows of a language are counted.
+HASH_PARTS = 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def grams(data: bytes, order: int) -> list[np.ndarray]:
+def grams(data: bytes, order: int, before: bytes = b"") -> list[np.ndarray]:
     """For n = 1 to ``order + 1``: the n bytes that end at each byte, as one number.
 
-    Line ends stand before a text, so that contexts never reach another one.
+    ``before`` is what stands before ``data`` in its text. Line ends stand before a text, so
+    that contexts never reach another one.
     """
-    padded = np.frombuffer(b"\n" * order + data, np.uint8).astype(np.uint64)
+    padded = np.frombuffer((b"\n" * order + before)[len(before) :] + data, np.uint8).astype(np.uint64)
     out, value = [], np.zeros(len(data), np.uint64)
     for n in range(order + 1):
         value = value | (padded[order - n : len(padded) - n] << np.uint64(8 * n))
@@ -97,13 +103,13 @@ class Model:
     escapes: list[tuple[np.ndarray, np.ndarray]]
     _tables: tuple | None = None
 
-    def bits(self, data: bytes) -> np.ndarray:
-        """The exact code length of ``data`` in each language."""
+    def bits(self, data: bytes, before: bytes = b"") -> np.ndarray:
+        """The exact code length of ``data`` in each language, after the last bytes ``before`` it."""
         if self._tables is None:
             self._tables = [Table(*c) for c in self.codes], [Table(*e) for e in self.escapes]
         codes, escapes = self._tables
         total = np.zeros(len(self.languages))
-        all_grams = grams(data, len(codes) - 1)
+        all_grams = grams(data, len(codes) - 1, before)
         left = np.arange(len(data))
         for n in range(len(codes) - 1, -1, -1):
             found = codes[n].find(all_grams[n][left])
@@ -123,9 +129,9 @@ class Model:
         if not self.languages or not text or not _LETTER.search(text):
             return "und", 0.0
         data = text.encode()
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(data), 1 << 21):
-            total += self.bits(data[at : at + (1 << 21)])
+        total, order = np.zeros(len(self.languages)), len(self.codes) - 1
+        for at in range(0, len(data), PIECE_BYTES):
+            total += self.bits(data[at : at + PIECE_BYTES], data[max(0, at - order) : at])
         best = int(total.argmin())
         # Bits of neighbouring bytes are far from independent: an eighth of them counts.
         return self.languages[best], float(1 / np.exp2(np.clip((total[best] - total) / 8, -1000, 0)).sum())
@@ -163,6 +169,23 @@ def fit(counts: list[tuple[str, int, int, int]], order: int) -> Model:
     return Model(languages, codes, escapes)
 
 
+def smallest(rows: DataFrame, group: str, key: list[str], n: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hash of ``key``, which tells its rows apart.
+
+    Rows are counted by part of the range of hashes first; only the parts that hold the
+    first ``n`` are sorted, so a group may hold any share of all rows.
+    """
+    hashed = rows.withColumn("hash", F.xxhash64(*key))
+    hashed = hashed.withColumn("part", F.shiftright("hash", 64 - (HASH_PARTS - 1).bit_length()))
+    counts = hashed.groupBy(group, "part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # At most ``HASH_PARTS`` rows of a group.
+    wanted = counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).filter(F.col("before") < n)
+    few = hashed.join(wanted.select(group, "part"), [group, "part"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("hash", *key))
+    return few.withColumn("place", place).filter(F.col("place") <= n).select(*rows.columns)
+
+
 def train(
     docs: DataFrame,
     order: int = ORDER,
@@ -172,13 +195,15 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> Model:
-    """Fit on the ``sample_rows`` labelled texts of each language with the smallest hash of their id."""
+    """Fit on the ``sample_rows`` labelled texts of each language with the smallest hash."""
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang")
-    ).filter("lang is not null and doc_id is not null")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= sample_rows)
-    sample = sample.select("doc_id", "lang").distinct()
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(lang_col).cast("string").alias("lang"),
+        F.col(text_col).cast("string").alias("text"),
+    ).filter("lang is not null and doc_id is not null and text is not null")
+    key = ["lang", "doc_id", "text_hash"]
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    sample = smallest(rows.select(*key).distinct(), "lang", ["doc_id", "text_hash"], sample_rows)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[dict[int, int]]] = {}
@@ -200,9 +225,8 @@ def train(
                     ["lang", "n", "gram", "count"],
                 )
 
-    # The sample is bounded: ``sample_rows`` ids of each language.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    taught = texts.join(F.broadcast(sample), "doc_id")
+    # The sample is bounded: ``sample_rows`` texts of each language. Of equal rows one teaches.
+    taught = rows.join(F.broadcast(sample), key).groupBy(*key).agg(F.first("text").alias("text"))
     kept = (
         taught.mapInArrow(counted, "lang string, n int, gram long, count long")
         .groupBy("lang", "n", "gram")

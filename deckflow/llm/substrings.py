@@ -18,9 +18,10 @@ A task drops regions (and windows) that it has itself seen earlier, so a passage
 documents share does not gather in one place.
 
 Defined cases: a null or empty text has no words (digest of the empty string); texts
-shorter than a window lose nothing; rows without id lose nothing and are not searched;
-rows that share an id are one document, and places are removed from each of them; an
-empty table gives no rows; other columns are not read.
+shorter than a window lose nothing, and very long ones are parsed whole; rows without id
+lose nothing and are not searched; rows that share an id are told apart by their text, of
+two windows with one start in them the one of the lesser hash of its text is the earlier,
+and equal rows are one document; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,15 +49,17 @@ class Batch:
     """The words of some texts in a row, in the order of their ids."""
 
     docs: np.ndarray  # id of each text
+    keys: np.ndarray  # hash of each text
     first: np.ndarray  # where each text starts, and the end
     words: list[bytes]
 
     @classmethod
-    def of(cls, ids: list[int], texts: list[str | None]) -> Batch:
-        order = sorted(range(len(ids)), key=ids.__getitem__)
+    def of(cls, ids: list[int], keys: list[int], texts: list[str | None]) -> Batch:
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i]))
         split = [(texts[i] or "").encode().split() for i in order]
         first = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-        return cls(np.array([ids[i] for i in order], np.int64), first, [w for ws in split for w in ws])
+        docs, hashes = (np.array([of[i] for i in order], np.int64) for of in (ids, keys))
+        return cls(docs, hashes, first, [w for ws in split for w in ws])
 
     def joined(self) -> tuple[bytes, np.ndarray]:
         """All words with a space behind each, and where each starts (and the end)."""
@@ -130,7 +133,7 @@ def regions(batch: Batch, size: int = SIZE) -> dict[str, np.ndarray]:
     start, name, offset = representatives(batch, size)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return {"name": none, "region": none, "doc_id": none, "start": none, "n": none}
+        return {"name": none, "region": none, "doc_id": none, "key": none, "start": none, "n": none}
     text = np.searchsorted(batch.first, start, "right") - 1
     place = start + offset
     new = np.concatenate([[True], (name[1:] != name[:-1]) | (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])])
@@ -144,33 +147,44 @@ def regions(batch: Batch, size: int = SIZE) -> dict[str, np.ndarray]:
         "name": name[at].view(np.int64),
         "region": region.view(np.int64),
         "doc_id": batch.docs[text[at]],
+        "key": batch.keys[text[at]],
         "start": start[at] - batch.first[text[at]],
         "n": n,
     }
 
 
-def _repeats(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Where an equal key stands earlier in another place; the rows are in order."""
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    earliest = first[inverse]
-    return (doc[earliest] != doc) | (start[earliest] != start)
+def _repeats(what: np.ndarray, doc: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where the same stands earlier in another place; the rows are in order but within an id."""
+    order = slice(None)
+    if len(doc) and (key[1:] != key[:-1])[doc[1:] == doc[:-1]].any():  # texts that share an id
+        order = np.lexsort((key, start, doc))
+    _, first, inverse = np.unique(what[order], return_index=True, return_inverse=True)
+    if isinstance(order, slice):
+        earliest = first[inverse]
+    else:
+        earliest = np.empty(len(doc), np.int64)
+        earliest[order] = order[first[inverse]]
+    return (doc[earliest] != doc) | (start[earliest] != start) | (key[earliest] != key)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Batch]]:
     for batch in batches:
         for some in slices(batch):
-            yield some, Batch.of(some.column("doc_id").to_pylist(), some.column("text").to_pylist())
+            yield some, Batch.of(*(some.column(c).to_pylist() for c in ("doc_id", "key", "text")))
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, n``: the ``n`` windows from word ``start`` on stand earlier as well."""
-    rows = text_rows(docs, id_col, text_col).filter("doc_id is not null")
+    """``doc_id, key, start, n``: the ``n`` windows from word ``start`` on stand earlier as well.
+
+    ``key`` is the hash of the text.
+    """
+    rows = text_rows(docs, id_col, text_col).filter("doc_id is not null").withColumn("key", F.xxhash64("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in _batches(batches):
             got = regions(batch, size)
-            key = mixed(got["name"].view(np.uint64), got["region"].view(np.uint64), 5)
-            known = _repeats(key, got["doc_id"], got["start"])
+            both = mixed(got["name"].view(np.uint64), got["region"].view(np.uint64), 5)
+            known = _repeats(both, got["doc_id"], got["start"], got["key"])
             # What is settled here only passes through the shuffle, spread by its place.
             spread = mixed(got["doc_id"].view(np.uint64), (got["start"] >> 6).view(np.uint64), 6).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -178,29 +192,30 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
                     pa.array(np.where(known, spread, got["name"])),
                     pa.array(np.where(known, 0, got["region"])),
                     pa.array(got["doc_id"]),
+                    pa.array(got["key"]),
                     pa.array(got["start"].astype(np.int32)),
                     pa.array(got["n"].astype(np.int16)),
                     pa.array(known),
                 ],
-                ["name", "region", "doc_id", "start", "n", "known"],
+                ["name", "region", "doc_id", "key", "start", "n", "known"],
             )
 
-    found = rows.mapInArrow(parse, "name long, region long, doc_id long, start int, n short, known boolean")
+    found = rows.mapInArrow(parse, "name long, region long, doc_id long, key long, start int, n short, known boolean")
     by_name, by_region = Window.partitionBy("name"), Window.partitionBy("name", "region")
-    place = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "start", "key")
     told = (
         found.withColumn("one", F.min("region").over(by_name) == F.max("region").over(by_name))
         .withColumn("again", F.col("known") | (F.min(place).over(by_region) != place))
         .filter("again or not one")
     )
-    told = materialize(told.select("doc_id", "start", "n", "again"), "regions")
-    ask = told.filter("not again").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("ask"))
+    told = materialize(told.select("doc_id", "key", "start", "n", "again"), "regions")
+    ask = told.filter("not again").distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("ask"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, batch in _batches(batches):
-            asked = dict(zip(some.column("doc_id").to_pylist(), some.column("ask").to_pylist()))
+            asked = dict(zip(zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist()), some.column("ask").to_pylist()))
             starts, of = [], []
-            for i, doc in enumerate(batch.docs.tolist()):
+            for i, doc in enumerate(zip(batch.docs.tolist(), batch.keys.tolist())):
                 last = int(batch.first[i + 1] - batch.first[i]) - size
                 own = sorted({s for r in asked[doc] for s in range(r["start"], r["start"] + r["n"]) if s <= last})
                 starts += own
@@ -210,22 +225,23 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
             at = batch.first[of] + start if len(start) else start
             view, digest = memoryview(joined), xxhash.xxh3_128_digest
             keys = [digest(view[a:b]) for a, b in zip(byte[at].tolist(), (byte[at + size] - 1).tolist())]
-            doc = batch.docs[of] if len(of) else of
-            known = _repeats(np.array(keys, "S16"), doc, start)
+            doc, key = (batch.docs[of], batch.keys[of]) if len(of) else (of, of)
+            known = _repeats(np.array(keys, "S16"), doc, start, key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(known)],
-                ["key", "doc_id", "start", "known"],
+                [pa.array(keys, pa.binary()), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(known)],
+                ["window", "doc_id", "key", "start", "known"],
             )
 
     checked = materialize(
-        rows.join(ask, "doc_id").mapInArrow(verify, "key binary, doc_id long, start int, known boolean"), "windows"
+        rows.join(ask, ["doc_id", "key"]).mapInArrow(verify, "window binary, doc_id long, key long, start int, known boolean"),
+        "windows",
     )
     open_ = checked.filter("not known")
-    first = open_.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    again = open_.join(first.select("key", "first"), "key").filter(place != F.col("first"))
-    single = again.select("doc_id", "start").unionByName(checked.filter("known").select("doc_id", "start"))
-    return told.filter("again").select("doc_id", "start", "n").unionByName(
-        single.select("doc_id", "start", F.lit(1).cast("short").alias("n"))
+    first = open_.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    again = open_.join(first.select("window", "first"), "window").filter(place != F.col("first"))
+    single = again.select("doc_id", "key", "start").unionByName(checked.filter("known").select("doc_id", "key", "start"))
+    return told.filter("again").select("doc_id", "key", "start", "n").unionByName(
+        single.select("doc_id", "key", "start", F.lit(1).cast("short").alias("n"))
     )
 
 
@@ -244,10 +260,11 @@ def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     """``doc_id, n_words, n_removed, kept_sha256``, and with ``keep_text`` the ``kept`` words as a text."""
     ranges = (
         repeated_windows(docs, size, id_col, text_col)
-        .groupBy("doc_id")
+        .distinct()
+        .groupBy("doc_id", "key")
         .agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     )
-    rows = text_rows(docs, id_col, text_col).join(ranges, "doc_id", "left")
+    rows = text_rows(docs, id_col, text_col).withColumn("key", F.xxhash64("text")).join(ranges, ["doc_id", "key"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,8 @@ import re
 import duckdb
 import numpy as np
 from samples import PROSE, fresh
+from pyspark.sql import functions as F
+
 from deckflow.llm import language, quality, toxicity
 from deckflow.llm.queries import QUERIES
 
@@ -175,3 +177,32 @@ def test_rows_that_share_an_id_teach_once(spark):
     ):
         a, b = fit(once), fit(often)
         assert all(np.array_equal(getattr(a, p), getattr(b, p)) for p in parts)
+
+
+def test_language_rows_that_share_an_id(spark):
+    """Each text teaches its own language, and an equal row teaches once."""
+    english, german = [fresh(i, 50) for i in range(4)], [fresh(50 + i, 50) for i in range(4)]
+    fields = "doc_id long, lang string, text string"
+    apart = spark.createDataFrame([(i, "en", t) for i, t in enumerate(english)] + [(9 + i, "de", t) for i, t in enumerate(german)], fields)
+    shared = [(7, "en", t) for t in english] + [(7, "de", t) for t in german]
+    a = language.train(apart)
+    b = language.train(spark.createDataFrame(shared + shared[:1] * 300, fields))
+    assert a.languages == b.languages
+    for x, y in zip(a.codes + a.escapes, b.codes + b.escapes):
+        assert np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1])
+
+
+def test_sample_is_of_the_smallest_hashes(spark):
+    rows = spark.range(5000).select((F.col("id") % 3).cast("string").alias("lang"), F.col("id").alias("doc_id"), (F.col("id") % 7).alias("text_hash"))
+    got = {tuple(r) for r in language.smallest(rows, "lang", ["doc_id", "text_hash"], 20).collect()}
+    hashed = sorted(rows.withColumn("h", F.xxhash64("doc_id", "text_hash")).collect(), key=lambda r: r.h)
+    assert got == {tuple(r)[:3] for k in "012" for r in [r for r in hashed if r.lang == k][:20]}
+
+
+def test_code_length_does_not_depend_on_pieces(spark):
+    docs = spark.createDataFrame([(1, "en", fresh(1, 300)), (2, "de", fresh(2, 300))], "doc_id long, lang string, text string")
+    model = language.train(docs)
+    data = fresh(1, 200).encode()
+    whole = model.bits(data)
+    parts = sum(model.bits(data[k : k + 100], data[max(0, k - 3) : k]) for k in range(0, len(data), 100))
+    assert np.allclose(whole, parts)

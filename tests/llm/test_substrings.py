@@ -59,13 +59,42 @@ def test_equal_windows_have_equal_representatives():
     rng = random.Random(7)
     words = [w.encode() for w in rng.choices("abcdefgh", k=80)]
     for pad in range(1, 30):
-        batch = substrings.Batch(np.array([1, 2]), np.array([0, 80, 80 + 2 * pad + 80]), words + [b"x"] * pad + words + [b"y"] * pad)
+        batch = substrings.Batch(np.array([1, 2]), np.array([5, 6]), np.array([0, 80, 80 + 2 * pad + 80]), words + [b"x"] * pad + words + [b"y"] * pad)
         start, name, offset = substrings.representatives(batch)
         here = {s: (n, o) for s, n, o in zip(start.tolist(), name.tolist(), offset.tolist())}
         for i in range(61):
             assert here[i] == here[80 + pad + i]
 
 
+def test_rows_that_share_an_id(spark):
+    """They are one document: the window that starts earlier stays, and a unique word always does."""
+    common, size = [f"w{i}" for i in range(80)], 20
+    a = " ".join([f"p{i}" for i in range(100)] + common)
+    b = " ".join(common + [f"q{i}" for i in range(200)])
+    c = " ".join(common + [f"r{i}" for i in range(60)])
+    rows = [(7, a), (7, b), (9, c), (3, "x " * 30), (3, "y z " * 30), (3, "x " * 30)]
+    rows += [(11, " ".join(common[k:] + [f"s{k}"] * 3)) for k in range(0, 40, 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_words, r.kept_sha256): r.n_removed for r in substrings.removed(table, size).collect()}
+    key = {r.text: r.key for r in table.selectExpr("text", "xxhash64(text) AS key").collect()}
+    places = {}
+    for doc, text in set(rows):
+        words = text.split()
+        for i in range(len(words) - size + 1):
+            places.setdefault(tuple(words[i : i + size]), []).append((doc, i, key[text]))
+    want = {}
+    for doc, text in set(rows):
+        words = text.split()
+        gone = set()
+        for i in range(len(words) - size + 1):
+            if min(places[tuple(words[i : i + size])]) != (doc, i, key[text]):
+                gone |= set(range(i, i + size))
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        want[doc, len(words), hashlib.sha256(kept.encode()).hexdigest()] = len(gone)
+    assert got == want
+    assert want[7, 180, hashlib.sha256(" ".join(a.split()[:100]).encode()).hexdigest()] == 80
+
+
 def test_edges(spark, edges):
     rows = {(r.doc_id, r.text) for r in edges.collect()}
     got = substrings.removed(edges, keep_text=True).collect()
