@@ -1,20 +1,26 @@
 """License scans: fixed phrases, and an exact set-similarity join with license templates.
 
-A text block (a line) meets a template if it holds at least ``threshold`` of the template's
-distinct words; so do, with ``over_lines``, as many words in a row as the template has, and
-a few more, wherever lines end. Words are ordered by how many blocks have them, the rarest first. A block
-with at least ``need`` of a template's ``n`` words must have one of the first
-``n - need + 1`` (prefix), must have at least ``need`` words (length), and the words behind
-the matched one, on both sides, must suffice (position). What is left is verified.
-
-Only the words of the templates can count, so a block is held as the few template words in
+A text block is a number of words in a row, wherever lines end: as many as the template has,
+and as many others as it may lack. A block meets a template if it holds at least
+``threshold`` of the template's distinct words.
+
+Words are ordered by how many texts have them, the rarest first. The words of a block are
+words of its text, so what a text cannot meet none of its blocks can: a text with at least
+``need`` of a template's ``n`` words must have one of the first ``n - need + 1`` (prefix),
+must have at least ``need`` words (length), and the words behind the matched one, on both
+sides, must suffice (position). Texts and templates that pass are joined; of such a text
+the blocks that begin with a word of the template are verified one by one, which is enough:
+any other block holds no more than one of these.
+
+Only the words of the templates can count, so a text is held as the few template words in
 it; templates are a parameter of the code, and their words are bounded by it. All steps
 are DataFrame functions.
 
-Defined cases: a null text is an empty one, without words and blocks; blocks without
-words match nothing; a word counts once in a block; rows that share id and text share
-their result, and each keeps its row; an empty table gives no rows; other columns are not
-read.
+Defined cases: a null text is an empty one, without words and blocks; a text of any length
+is scanned whole; texts without words of a template match nothing; a word counts once in a
+block; of blocks that meet a template to the same degree any one stands for all; rows that
+share id and text share their result, and each keeps its row; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,9 +78,17 @@ def _starts(phrase: list[str]) -> Column:
     return F.filter(F.transform("words", at), lambda i: i.isNotNull())
 
 
-def phrases(docs: DataFrame) -> DataFrame:
-    """Per row of ``doc_id, text``: ``key``, the number of words, and the places of the phrases."""
+def _span_words(text: str, threshold: float) -> int:
+    """Words of a block: the template's own, and as many others as it may lack."""
+    distinct = len(template_words(text))
+    return len("".join(c if c.isalnum() else " " for c in text).split()) + distinct - needed(distinct, threshold)
+
+
+def _rows_of(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Per row of ``doc_id, text``: ``key``, the number of words, the places of the phrases,
+    and which words of ``vocabulary`` the text has. The text is split once."""
     quick = "|".join(SEPARATOR.join(p.split()) for p in PHRASES.values())
+    wanted = F.array(*[F.lit(w) for w in vocabulary])
     found = docs.select(
         "doc_id",
         F.xxhash64("text").alias("key"),
@@ -86,6 +100,7 @@ def phrases(docs: DataFrame) -> DataFrame:
         "doc_id",
         "key",
         F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.array_intersect("words", wanted), F.array().cast("array<string>")).alias("hits"),
         *[F.when(F.col("maybe"), _starts(p.split())).otherwise(none).alias(f"at_{n}") for n, p in enumerate(PHRASES.values())],
     )
     places = F.concat(*[F.col(f"at_{n}") for n in range(len(PHRASES))])
@@ -96,6 +111,7 @@ def phrases(docs: DataFrame) -> DataFrame:
         "doc_id",
         "key",
         "n_words",
+        "hits",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
@@ -103,96 +119,73 @@ def phrases(docs: DataFrame) -> DataFrame:
     )
 
 
-def blocks_with(docs: DataFrame, vocabulary: list[str], separator: str = "\n") -> DataFrame:
-    """``doc_id, key, block, size, hits``: the template words of each block that has any."""
-    wanted = F.array(*[F.lit(w) for w in vocabulary])
-    split = docs.select(
-        "doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split("text", separator)).alias("block", "line")
-    ).select("doc_id", "key", "block", words("line").alias("words"))
-    return split.select(
-        "doc_id", "key", "block", F.size("words").alias("size"), F.array_intersect("words", wanted).alias("hits")
-    ).filter(F.size("hits") > 0)
-
-
-def matches(
-    docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, separator: str = "\n"
-) -> DataFrame:
-    """``doc_id, key, block, label, containment`` of every block and template that meet ``threshold``."""
-    spark = docs.sparkSession
-    sets = [(label, template_words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    blocks = materialize(blocks_with(docs, vocabulary, separator), "license_blocks")
+def _candidates(texts: DataFrame, sets: list[list[str]], threshold: float) -> DataFrame:
+    """``doc_id, key, template``: texts that hold enough of a template's words anywhere."""
+    spark = texts.sparkSession
+    vocabulary = sorted({w for ws in sets for w in ws})
     # As many rows as the templates have words.
-    frequency = {r.word: r.n for r in blocks.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    counts = texts.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
+    frequency = {r.word: r.n for r in counts}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     prefix = []
-    for n, (label, ws) in enumerate(sets):
+    for template, ws in enumerate(sets):
         ranked, need = sorted(rank[w] for w in ws), needed(len(ws), threshold)
-        prefix += [(r, n, label, place, len(ws), need, ranked) for place, r in enumerate(ranked[: len(ws) - need + 1])]
-    index = spark.createDataFrame(
-        prefix, "rank int, template int, label string, place int, n int, need int, ranked array<int>"
-    )
+        prefix += [(r, template, place, len(ws), need, ranked) for place, r in enumerate(ranked[: len(ws) - need + 1])]
+    index = spark.createDataFrame(prefix, "rank int, template int, place int, n int, need int, ranked array<int>")
     ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     first = F.array(*[F.lit(r) for r in sorted({p[0] for p in prefix})])
-    held = blocks.select(
-        "doc_id", "key", "block", "size", F.array_sort(F.transform("hits", lambda w: F.element_at(ranks, w))).alias("hits")
+    held = texts.select(
+        "doc_id", "key", "n_words", F.array_sort(F.transform("hits", lambda w: F.element_at(ranks, w))).alias("hits")
     )
     # Behind the matched word neither side may have too few words left.
     behind = F.least(F.col("n") - F.col("place"), F.size("hits") - F.array_position("hits", F.col("rank")) + 1)
-    # Of a template's prefix words in the block, the first one's bound counts.
-    candidates = (
+    # Of a template's prefix words in the text, the first one's bound counts.
+    return (
         held.select("*", F.explode(F.array_intersect("hits", first)).alias("rank"))
         .join(F.broadcast(index), "rank")  # bounded by the words of the templates
-        .filter((F.col("size") >= F.col("need")) & (F.size(F.array_intersect("hits", F.slice("ranked", 1, F.col("place")))) == 0))
+        .filter((F.col("n_words") >= F.col("need")) & (F.size(F.array_intersect("hits", F.slice("ranked", 1, F.col("place")))) == 0))
         .filter(behind >= F.col("need"))
-    )
-    both = F.size(F.array_intersect("hits", "ranked"))
-    return candidates.filter(both >= F.col("need")).select(
-        "doc_id", "key", "block", "label", (both / F.col("n")).alias("containment")
+        .filter(F.size(F.array_intersect("hits", "ranked")) >= F.col("need"))
+        .select("doc_id", "key", "template")
+        .distinct()
     )
 
 
-def _span_words(text: str, threshold: float) -> int:
-    """Words in a row that a wrapped template may take: its own, and as many others as it may lack."""
-    distinct = len(template_words(text))
-    return len("".join(c if c.isalnum() else " " for c in text).split()) + distinct - needed(distinct, threshold)
-
-
-def spans(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, key, label, containment``: the best words in a row, over line ends, that meet ``threshold``.
+def matches(
+    docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, texts: DataFrame | None = None
+) -> DataFrame:
+    """``doc_id, key, label, containment``: the best block of each text and template that meet.
 
-    Only a text that has enough of a template's words anywhere is searched for it, and only
-    from those words on. Words in a row within one line are part of its block.
+    ``docs`` has ``doc_id, text``; ``texts`` are their stored ``_rows_of``, if the caller has them.
     """
-    sets = [(label, template_words(text), _span_words(text, threshold)) for label, text in templates]
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, ws, _ in sets for w in ws})])
-    held = (
-        docs.filter(F.col("text").contains("\n"))
-        .select("doc_id", F.xxhash64("text").alias("key"), words("text").alias("words"))
-        .select("doc_id", "key", "words", F.array_intersect("words", vocabulary).alias("hits"))
+    spark = docs.sparkSession
+    sets = [template_words(text) for _, text in templates]
+    if texts is None:
+        texts = materialize(_rows_of(docs, sorted({w for ws in sets for w in ws})), "license_texts")
+    met = materialize(_candidates(texts.filter(F.size("hits") > 0), sets, threshold), "license_candidates")
+    place = met.withColumnsRenamed({"doc_id": "met_id", "key": "met_key"})
+    # Of equal rows one is looked at.
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    same = rows.doc_id.eqNullSafe(place.met_id) & (rows.key == place.met_key)
+    known = rows.join(place, same, "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    owners = spark.createDataFrame(
+        [(w, t, _span_words(templates[t][1], threshold)) for t, ws in enumerate(sets) for w in ws],
+        "word string, template int, span int",
     )
-
-    def most(ws: list[str], length: int) -> Column:
-        """The most words of a template that stand within ``length`` words in a row."""
-        wanted, need = F.array(*[F.lit(w) for w in ws]), needed(len(ws), threshold)
-        starts = F.filter(F.transform("words", lambda w, i: F.when(w.isin(ws), i)), lambda i: i.isNotNull())
-        counts = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i + 1, length), wanted)))
-        return F.when(F.size(F.array_intersect("hits", wanted)) >= need, F.array_max(counts))
-
-    found = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                (most(ws, length) / F.lit(len(ws))).alias("containment"),
-                F.lit(needed(len(ws), threshold) / len(ws)).alias("least"),
-            )
-            for label, ws, length in sets
-        ]
+    hits = known.select("doc_id", "key", F.posexplode(words("text")).alias("at", "word")).join(F.broadcast(owners), "word")
+    same = hits.doc_id.eqNullSafe(place.met_id) & (hits.key == place.met_key) & (hits.template == place.template)
+    hits = hits.join(place, same, "left_semi")
+    # Places in units of the block, so that one frame holds the blocks of all templates.
+    longest = max(_span_words(text, threshold) for _, text in templates)
+    frame = f"RANGE BETWEEN CURRENT ROW AND {1 - 0.5 / longest!r}D FOLLOWING"
+    block = F.expr(f"size(collect_set(word) OVER (PARTITION BY doc_id, key, template ORDER BY at / span {frame}))")
+    best = hits.select("doc_id", "key", "template", block.alias("both")).groupBy("doc_id", "key", "template").agg(F.max("both").alias("both"))
+    sizes = spark.createDataFrame(
+        [(t, label, len(ws), needed(len(ws), threshold)) for t, ((label, _), ws) in enumerate(zip(templates, sets))],
+        "template int, label string, n int, need int",
     )
-    return (
-        held.select("doc_id", "key", F.explode(found).alias("f"))
-        .filter("f.containment >= f.least")
-        .select("doc_id", "key", "f.label", "f.containment")
+    return best.join(F.broadcast(sizes), "template").filter("both >= need").select(
+        "doc_id", "key", "label", (F.col("both") / F.col("n")).alias("containment")
     )
 
 
@@ -202,22 +195,17 @@ def scan(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
-    over_lines: bool = False,
 ) -> DataFrame:
-    """Phrases and labels of every text; ``score`` is the highest containment that was met, or 0.
-
-    With ``over_lines`` templates that are wrapped over lines are found too (``spans``).
-    """
+    """Phrases and labels of every text; ``score`` is the highest containment that was met, or 0."""
     rows = text_rows(docs, id_col, text_col)
-    blocks = matches(rows, templates, threshold).select("doc_id", "key", "label", "containment")
-    if over_lines:
-        blocks = blocks.unionByName(spans(rows, templates, threshold))
+    vocabulary = sorted({w for _, text in templates for w in template_words(text)})
+    base = materialize(_rows_of(rows, vocabulary), "license_texts")
     met = (
-        blocks.groupBy("doc_id", "key")
+        matches(rows, templates, threshold, base)
+        .groupBy("doc_id", "key")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
         .withColumnsRenamed({"doc_id": "met_id", "key": "met_key"})
     )
-    base = phrases(rows)
     same = base.doc_id.eqNullSafe(met.met_id) & (base.key == met.met_key)
     none = F.array().cast("array<string>")
     return base.join(met, same, "left").select(
@@ -233,12 +221,12 @@ def scan(
 
 
 def oracle_sql(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB's SQL: every block against every template."""
+    """The same in DuckDB's SQL: every block against every template, a block from each of its words on."""
     text = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     rows = ", ".join(
-        f"('{label}', [{', '.join(repr(w) for w in template_words(t))}], {needed(len(template_words(t)), threshold)})"
-        for label, t in templates
+        f"({n}, '{label}', [{', '.join(repr(w) for w in template_words(t))}], {needed(len(template_words(t)), threshold)}, {_span_words(t, threshold)})"
+        for n, (label, t) in enumerate(templates)
     )
     places = {
         label: "list_filter(range(1, len(w) + 1), lambda i: "
@@ -251,13 +239,15 @@ def oracle_sql(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> st
     base = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for label, p in places.items())
     return rf"""
 WITH rows AS (SELECT row_number() OVER () AS r, doc_id, {text} AS t FROM documents),
-templates(label, ws, need) AS (VALUES {rows}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(line, '{word}')) AS ws
-  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM rows)),
-met AS (SELECT r, list(DISTINCT label) AS more, max(n / size) AS score FROM (
-    SELECT r, label, len(list_intersect(b.ws, t.ws)) AS n, len(t.ws) AS size, need FROM blocks b, templates t)
-  WHERE n >= need GROUP BY r),
+templates(t, label, ws, need, span) AS (VALUES {rows}),
+owners AS (SELECT t, span, unnest(ws) AS word FROM templates),
 worded AS (SELECT r, doc_id, regexp_extract_all(t, '{word}') AS w FROM rows),
+hits AS (SELECT r, t, span, place, word FROM
+  (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM worded) JOIN owners USING (word)),
+blocks AS (SELECT a.r, a.t, a.place, count(DISTINCT b.word) AS n FROM hits a
+  JOIN hits b ON a.r = b.r AND a.t = b.t AND b.place BETWEEN a.place AND a.place + a.span - 1 GROUP BY ALL),
+met AS (SELECT r, list(DISTINCT label) AS more, max(n / len(ws)) AS score
+  FROM blocks JOIN templates USING (t) WHERE n >= need GROUP BY r),
 placed AS (SELECT r, doc_id, len(w) AS n_words, {every} AS p,
   list_sort(list_filter([{base}], lambda x: x IS NOT NULL)) AS base FROM worded)
 SELECT doc_id, n_words, len(p) AS n_base, CAST(list_min(p) - 1 AS BIGINT) AS first_word, CAST(list_max(p) - 1 AS BIGINT) AS last_word,

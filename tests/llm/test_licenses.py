@@ -2,7 +2,7 @@ import random
 
 import pytest
 from compare import difference
-from samples import PROSE
+from samples import PROSE, fresh
 from deckflow.llm import licenses
 
 
@@ -25,7 +25,7 @@ def test_equals_every_block_against_every_template(spark, threshold):
         for _ in range(rng.randint(0, 3)):
             words = rng.choice(licenses.TEMPLATES)[1].split()
             kept = [w.upper() if rng.random() < 0.2 else w for w in words if rng.random() < 0.9]
-            lines.append(rng.choice([" ", "  -- "]).join(kept + rng.choices(PROSE.split(), k=rng.randint(0, 3))))
+            lines.append(rng.choice([" ", "  -- ", "\n", "\n# "]).join(kept + rng.choices(PROSE.split(), k=rng.randint(0, 3))))
         docs.append((i, "\n".join(lines)))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     got = licenses.scan(table, threshold=threshold).toPandas()
@@ -63,7 +63,19 @@ def test_wrapped_templates_are_found(spark, template):
     far = " ".join(halves[: len(halves) // 2]) + "\n" + "pad " * 60 + "\n" + " ".join(halves[len(halves) // 2 :])
     narrow = textwrap.fill(text, 20)
     table = spark.createDataFrame(list(enumerate([*wraps, narrow, far])), "doc_id long, text string")
-    rows = {r.doc_id: r for r in licenses.scan(table, over_lines=True).collect()}
+    rows = {r.doc_id: r for r in licenses.scan(table).collect()}
     for i in range(len(wraps) + 1):
         assert label in rows[i].labels.split(",") and rows[i].score == 1.0
     assert rows[len(wraps) + 1].score < 1.0
+    assert difference(licenses.scan(table).toPandas(), oracle(table)) is None
+
+
+def test_words_far_apart_are_no_notice(spark):
+    """Neither in one long line nor over lines; and without its rarest words a notice may still be one."""
+    far = "Released goods " + fresh(1, 500) + " under everything the " + fresh(2, 500) + " mit license"
+    near = "Licensed under the Apache License, Version 2.0"
+    long = fresh(3, 3000).replace(" ", "\n", 40) + " " + near + " " + fresh(4, 3000)
+    spread = " w ".join(near.split())
+    table = spark.createDataFrame(list(enumerate([far, near, long, spread])), "doc_id long, text string")
+    rows = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table).collect()}
+    assert rows == {0: ("", 0.0), 1: ("apache-2.0", 1.0), 2: ("apache-2.0", 1.0), 3: ("", 0.0)}
