@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from samples import PROSE, fresh
 from deckflow.llm import decontamination as d
 
@@ -48,11 +49,45 @@ def test_planted_items_are_found_as_by_brute_force(spark):
     assert {r.doc_id for r in d.clean(table, bench).collect()} == {x for x, _ in docs} - bad
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    bench = spark.createDataFrame([(i, fresh(i, 30)) for i in range(9)] + [(9, None), (10, "")], "item_id long, text string")
-    assert sum(len(b) for b in d.blocks(bench, 300)) == 11 and len(list(d.blocks(bench, 300))) > 5
-    docs = spark.createDataFrame([(i, "x " + fresh(i, 40)) for i in range(12)], "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in d.matches(docs, bench).collect()} == {(i, i) for i in range(9)}
+def test_every_length_of_items(spark):
+    """Items of one letter to many, over texts longer than one numpy step; all places count."""
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    items = [(n, letters[40 * n : 40 * n + n]) for n in range(1, 40)] + [(99, letters[500:1400])]
+    step = d.STEP_BYTES
+    long = fresh(1, step // 6)[: step - 20] + " " + letters[500:1390] + "zz" + fresh(2, 2000)
+    docs = [(1, letters), (2, letters[::-1]), (3, long), (4, "b"), (5, letters[700:])]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in d.matches(table, bench).collect()}
+    want = set()
+    for doc, text in docs:
+        plain = d.normalized(text)
+        for i, item in items:
+            p = d.normalized(item)
+            distance, end = d.nearest(p, plain) if p else (1, 0)
+            if distance <= int(len(p) * d.ERROR_RATE):
+                want.add((doc, i, distance, end))
+    assert got == want and (3, 99) in {g[:2] for g in got}
+
+
+def test_a_large_benchmark(spark):
+    """Some megabytes of items: no step of the driver or of a task grows with them but the maps of bits."""
+    items = spark.range(20_000).select(
+        F.col("id").alias("item_id"),
+        F.concat_ws(" ", *[F.md5(F.concat("id", F.lit(f"-{k}"))) for k in range(6)]).alias("text"),
+    )
+    docs = items.filter("item_id % 50 = 0").select(
+        (F.col("item_id") + 7).alias("doc_id"), F.concat(F.lit("before "), F.translate("text", "abc", "ABC"), F.lit("! after")).alias("text")
+    )
+    clean = spark.range(300).select((-F.col("id") - 1).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    got = d.matches(docs.unionByName(clean), items).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(n + 7, n, 0) for n in range(0, 20_000, 50)}
+
+
+def test_only_the_contaminated_row_of_an_id_goes(spark):
+    bench = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, PROSE), (1, fresh(1, 30)), (None, PROSE), (None, fresh(2, 30))], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in d.clean(docs, bench).collect()} == {(1, fresh(1, 30)), (None, fresh(2, 30))}
 
 
 def test_edges(spark, edges):
