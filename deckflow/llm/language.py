@@ -38,7 +38,7 @@ MIN_COUNT = 2
 #: Bytes of a text that one numpy step works on.
 PIECE_BYTES = 1 << 21
 #: Parts of the range of hashes in which the rows of a language are counted.
-HASH_PARTS = 1 << 16
+HASH_PARTS = 1 << 12
 _LETTER = re.compile(r"[^\W\d_]")
 
 
