@@ -332,9 +332,10 @@ def _aliases(spark, sf_dir):
     return themes.alias_map(themes.alias_entries(inputs.resolutions(spark, sf_dir)))
 
 
-def _resolved(spark, sf_dir):
+def _resolved(spark, sf_dir, analyses=None):
     """Every proposed name: by alias, and those that no answer lists by the closest canonical."""
-    return themes.resolve_themes(themes.proposed_themes(inputs.analyses(spark, sf_dir)), _aliases(spark, sf_dir))
+    analyses = inputs.analyses(spark, sf_dir) if analyses is None else analyses
+    return themes.resolve_themes(themes.proposed_themes(analyses), _aliases(spark, sf_dir))
 
 
 # Similarity of two texts: twice the letters in common blocks over all letters, where the
@@ -380,7 +381,8 @@ items AS (SELECT t.*, r.canonical FROM themes t JOIN resolved r ON t.subject = r
 
 
 def _items(spark, sf_dir):
-    return themes.theme_items(inputs.analyses(spark, sf_dir), _resolved(spark, sf_dir))
+    analyses = materialize(inputs.analyses(spark, sf_dir), "analyses")
+    return themes.theme_items(analyses, _resolved(spark, sf_dir, analyses))
 
 
 @query(f"""WITH {_ITEMS_SQL} SELECT subject, folder, base_name,
@@ -401,10 +403,7 @@ def subject_themes(spark, sf_dir):
       SELECT *, 'problem', unnest(problem_types), generate_subscripts(problem_types, 1) - 1 FROM items)
     SELECT subject, canonical, kind, folder, base_name, theme_no, item_no, item FROM pieces""")
 def theme_content(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    recall = themes.theme_content(items, "recall_concepts").withColumn("kind", F.lit("recall"))
-    problem = themes.theme_content(items, "problem_types").withColumn("kind", F.lit("problem"))
-    return recall.unionByName(problem).select(
+    return themes.theme_pieces(_items(spark, sf_dir)).select(
         "subject", "canonical", "kind", "folder", "base_name", *big("theme_no", "item_no"), "item"
     )
 

@@ -222,7 +222,17 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         ),
         "resolutions",
     )
-    aliases = themes.alias_map(themes.merged_entries(themes.alias_entries(resolutions), known))
+    entries = materialize(themes.merged_entries(themes.alias_entries(resolutions), known), "entries")
+    # New names of different parts meet too: one theme may have got two.
+    parts_of = requests.resolution_parts(proposed, known, p.request_items)
+    invented, seen = materialize_measured(themes.new_names(entries, known, parts_of), "invented", part=F.max("part"))
+    meeting = []
+    if seen["part"]:
+        asked, told = ask(requests.reconciliation_requests(invented), "resolution")
+        meeting = [asked.join(told, "request_hash").select("subject", answers.parse_answer(F.col("raw")).alias("a"), "sent", *report.COUNTS)]
+        found = meeting[0].select("subject", answers.resolved_of(F.col("a.text")).alias("resolved"))
+        entries = materialize(themes.reconciled_entries(entries, themes.united_names(invented, found)), "reconciled")
+    aliases = themes.alias_map(entries)
     built = analyses.join(resolutions.select("subject").distinct(), "subject", "left_semi")
     resolved = themes.resolve_themes(themes.proposed_themes(built), aliases)
     items = materialize(themes.theme_items(built, resolved), "items")
@@ -288,7 +298,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         .partitionBy("subject")
         .parquet(p.path("store"))
     )
-    grown = themes.registry_upsert(known, resolutions, p.register_new)
+    grown = themes.registry_with(known, entries, p.register_new)
     added_names = (
         grown.where(F.col("ordinal.gen") == themes.FRESH)
         .withColumn("ordinal", F.col("ordinal").withField("gen", F.lit(now_ms).cast("bigint")))
@@ -316,7 +326,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     )
     # Every answer of this run counts, also one that could not be read; stored ones do not.
     calls = (
-        analysis_usage, parsed, recall_asked.join(recall_told, "request_hash"),
+        analysis_usage, parsed, *meeting, recall_asked.join(recall_told, "request_hash"),
         problem_asked.join(problem_told, "request_hash"),
     )
     usage = report.token_usage(*[c.where("sent") for c in calls])

@@ -182,6 +182,31 @@ def test_a_large_registry_is_seen_as_a_whole(spark, course):
     assert held == {*names, "Bayes"}
 
 
+def test_one_theme_that_two_parts_call_new_has_one_name(spark, course):
+    """Small requests: names of one theme are asked about apart, called new apart, and then meet."""
+    import hashlib
+
+    class Knows(Model):
+        def resolution(self, prompt):
+            known, proposed = [
+                json.loads(prompt.split(h + "\n")[1].split("\n")[0].replace(" (none yet)", ""))
+                for h in ("in the registry:", "proposed by the new document:")
+            ]
+            same = {k: [p for p in proposed if p[:4] == k[:4] and p != k] for k in known}
+            hits = {k: ps for k, ps in same.items() if ps}
+            return {"resolved": hits, "new_themes": [p for p in proposed if not any(p in ps for ps in hits.values())]}
+
+    # Four names are proposed, one a part.
+    parts = {int(hashlib.md5(n.encode()).hexdigest()[:8], 16) % 4 for n in ("Limits", "Limitz")}
+    assert len(parts) == 2
+    p = params(course, Knows(), request_items=1)
+    pipeline.run(spark, p, now_ms=1_000)
+    rows = [r for r in spark.read.parquet(p.path("registry")).collect() if r.subject == "My Course"]
+    lim = {r.canonical for r in rows if r.canonical.startswith("Lim")}
+    assert len(lim) == 1
+    assert {r.alias for r in rows if r.canonical in lim and r.alias} == {"Limits", "Limitz"} - lim
+
+
 def test_embedders_may_replace_terms(spark, course):
     def broken(texts):
         raise RuntimeError("no such model")
