@@ -209,7 +209,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
         .filter("again or not one")
     )
     told = materialize(told.select("doc_id", "key", "start", "n", "again"), "regions")
-    ask = told.filter("not again").distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("ask"))
+    ask = told.filter("not again").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("ask"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, batch in _batches(batches):
@@ -260,9 +260,8 @@ def removed(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col:
     """``doc_id, n_words, n_removed, kept_sha256``, and with ``keep_text`` the ``kept`` words as a text."""
     ranges = (
         repeated_windows(docs, size, id_col, text_col)
-        .distinct()
         .groupBy("doc_id", "key")
-        .agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+        .agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     )
     rows = text_rows(docs, id_col, text_col).withColumn("key", F.xxhash64("text")).join(ranges, ["doc_id", "key"], "left")
 
