@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from deckflow.functions.text import strip_fences
 
 # --- fixed values -----------------------------------------------------------
-# What may follow a backslash in JSON: a structural escape, a control escape that
-# is not the start of a LaTeX command, or four hex digits after ``u``.
+# Backslashes before these are meant as JSON escapes; all others belong to the text.
 GENUINE_ESCAPE = r'["\\/]|[bfnrt](?![A-Za-z])|u[0-9A-Fa-f]{4}'
 # ----------------------------------------------------------------------------
 
@@ -20,18 +19,22 @@ THEMES_SCHEMA = (
 RESOLVED_SCHEMA = "map<string,array<string>>"
 
 
-# Nested lists and objects that a cut-off answer may leave open.
-OPEN_DEPTH = 16
-
-
 def _closers(text: Column) -> Column:
-    """What a cut-off JSON text lacks at its end: a quote, and brackets from the inside out."""
+    """What a cut-off JSON text lacks at its end: a quote, and brackets from the inside out.
+
+    Outside of quoted strings, a fold over the brackets keeps those that are still to be
+    closed, whatever their number.
+    """
     bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     quote = F.when(bare.contains('"'), '"').otherwise("")
     left = F.regexp_replace(F.regexp_replace(bare, r'(?s)".*', ""), r"[^\[\]{}]", "")
-    for _ in range(OPEN_DEPTH):
-        left = F.regexp_replace(left, r"\[\]|\{\}", "")
-    return F.struct(quote.alias("quote"), F.reverse(F.translate(left, "[{", "]}")).alias("brackets"))
+
+    def step(still: Column, c: Column) -> Column:
+        opened = F.when(c == "[", F.concat(F.lit("]"), still)).when(c == "{", F.concat(F.lit("}"), still))
+        return F.coalesce(opened, F.substr(still, F.lit(2)))
+
+    brackets = F.aggregate(F.filter(F.split(left, ""), lambda c: c != ""), F.lit(""), step)
+    return F.struct(quote.alias("quote"), brackets.alias("brackets"))
 
 
 def _closed(text: Column) -> list[Column]:

@@ -512,6 +512,13 @@ def cards_union(spark, sf_dir):
     )
 
 
+@query(f"""WITH {inputs.CARDS_SQL} SELECT conv_id, turn,
+      trim(coalesce(question, '') || ' ' || coalesce(answer, ''), {inputs.BLANKS}) AS text FROM cards""")
+def card_texts(spark, sf_dir):
+    made = inputs.cards(spark, sf_dir)
+    return made.select("conv_id", "turn", text.card_text(F.col("question"), F.col("answer")).alias("text"))
+
+
 _STORED = "conv_id % 4 = 1"
 _INSERTED_SQL = (
     inputs.CARDS_SQL
@@ -600,11 +607,17 @@ def export_csv(spark, sf_dir):
 
 _FENCED = """CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```'
     WHEN 1 THEN '  ' || props || chr(10) ELSE props END"""
-_ANSWER = f"CASE WHEN event_id % 17 = 0 THEN 'no answer' ELSE {_FENCED} END"
+# Some answers hold lone backslashes, or those and pairs of them, or end in the midst of lists.
+_ODD = """'{"k": ' || (event_id % 1000) || ', "t": ' ||"""
+_ANSWER = f"""CASE event_id % 17 WHEN 0 THEN 'no answer'
+    WHEN 1 THEN {_ODD} '"' || chr(92) || 'alpha"}}' WHEN 2 THEN {_ODD} '"' || chr(92) || chr(92) || '( ' || chr(92) || 'alpha"}}'
+    WHEN 3 THEN {_ODD} '[1, {{"a": "x' WHEN 4 THEN {_ODD} repeat('[', 40) || '"deep' WHEN 5 THEN {_ODD} '{{"a": 1, "b"'
+    ELSE {_FENCED} END"""
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN -1 ELSE (props->>'$.k')::BIGINT END AS k,
-      CASE WHEN event_id % 17 = 0 THEN -1 ELSE 0 END AS repair FROM events""")
+@query("""SELECT event_id, CASE event_id % 17 WHEN 0 THEN -1 WHEN 1 THEN event_id % 1000 WHEN 2 THEN event_id % 1000 WHEN 3 THEN event_id % 1000
+        WHEN 4 THEN event_id % 1000 WHEN 5 THEN event_id % 1000 ELSE (props->>'$.k')::BIGINT END AS k,
+      CASE event_id % 17 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 WHEN 5 THEN 3 ELSE 0 END AS repair FROM events""")
 def json_parse(spark, sf_dir):
     parsed = table(spark, sf_dir, "events").select(
         "event_id", answers.parse_answer(F.expr(_ANSWER)).alias("p")
@@ -971,9 +984,8 @@ def offline_confirmation(stage: str, prompt: str) -> dict:
     return {"raw": '{"redundant": %s}' % ("false" if len(prompt) % 3 == 0 else "true")}
 
 
-_PROMPT_LENGTH = len(
-    "Card A:\nQuestion: \nAnswer: \n\nCard B:\nQuestion: \nAnswer: \n\nAre these two cards redundant?"
-)
+# Characters of a confirmation request beside those of its four texts.
+_PROMPT_LENGTH = len(requests.CONFIRM_FORM.format("", "", "", ""))
 
 
 @query(f"""{_walk(_TEXT_EDGES_SQL.replace("edges AS (SELECT i, j, similarity FROM near WHERE close)", f'''

@@ -54,6 +54,8 @@ class Params:
     register_new: bool = True
     confirm: bool = True
     against_stored: bool = False
+    # Hash every file again, also those whose length and time of change are known.
+    verify_all: bool = False
     # A request lists about this many names, concepts or questions.
     request_items: int = requests.REQUEST_ITEMS
     # Tried in order; without any, cards are compared by their terms.
@@ -153,7 +155,12 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     root = p.input_dir.rstrip("/")
     artifact = text.artifact_name(F.col("subject"))
 
-    found = files.find_files(spark, root, p.extensions)
+    listing = files.list_files(spark, root)
+    known = None if p.verify_all else read_or_empty(spark, p.path("hashes"), files.HASHES_SCHEMA)
+    found = materialize(files.find_files(listing, root, p.extensions, known), "found")
+    read_now = found.where("hashed AND sha256 IS NOT NULL").select("path", "length", "modified", "sha256")
+    read_now.withColumn("run", F.lit(now_ms).cast("bigint")).write.mode("append").parquet(p.path("hashes"))
+    found = found.drop("length", "modified", "hashed")
     held = read_or_empty(spark, p.path("store"), STORE_SCHEMA)
     log = read_or_empty(spark, p.path("ledger"), ledger.LEDGER_SCHEMA)
     present = held.select("subject").distinct().select(artifact.alias("artifact"))
@@ -174,7 +181,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     documents, unreadable = read_documents(
         chosen,
         files.read_content(chosen, root),
-        files.read_sidecars(spark, root),
+        files.read_sidecars(listing, root, chosen),
         p.decode,
     )
     usable = materialize(

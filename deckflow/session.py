@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -56,6 +58,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def file_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder or file as Spark names it, and the path there.
+
+    A path without a scheme is a local one. Spark's names of S3 mean the same store, and a
+    ``dbfs:`` path is reached through its mount.
+    """
+    if uri.startswith("dbfs:"):
+        uri = "/dbfs/" + uri.removeprefix("dbfs:").lstrip("/")
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), os.path.abspath(uri)
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def discard_scratch() -> None:
     """Delete the intermediate tables made so far; frames that still read them end.
 
@@ -63,10 +80,7 @@ def discard_scratch() -> None:
     because frames that a run returns are read from them.
     """
     while _MADE:
-        uri = _MADE.pop()
-        if uri.startswith("file:"):
-            uri = "/" + uri.removeprefix("file:").lstrip("/")
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = file_store(_MADE.pop())
         if fs.get_file_info(path).type != pafs.FileType.NotFound:
             fs.delete_dir(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deckflow.session import materialize_measured
+from deckflow.session import file_store, materialize, materialize_measured
 
 # --- fixed values -----------------------------------------------------------
 EXTENSIONS = (".pdf", ".pptx", ".ppt", ".md", ".txt")
@@ -22,6 +21,10 @@ SLIDE_FORMATS = (".pptx", ".ppt")
 TEXT_FORMATS = (".md", ".txt")
 # ----------------------------------------------------------------------------
 
+# Names that a task hands on at a time.
+LISTING_PAGE = 10_000
+
+
 def with_path_parts(df: DataFrame, path: str = "path") -> DataFrame:
     """Add ``folder``, ``name``, ``stem`` and ``ext`` (with its dot) of a path."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -79,19 +82,19 @@ def content_hash(content: Column) -> Column:
 
 def _store(root: str) -> tuple[pafs.FileSystem, str, str]:
     """The file system of ``root``, its path there, and what full names have before such paths."""
-    if root.startswith("file:"):
-        root = "/" + root.removeprefix("file:").lstrip("/")
-    if "://" not in root:
-        root = os.path.abspath(root)
-    fs, path = pafs.FileSystem.from_uri(root)
-    return fs, path, root[: -len(path)] if path and root.endswith(path) else ""
+    fs, path = file_store(root)
+    return fs, path, root[: -len(path)] if "://" in root and root.endswith(path) else ""
+
+
+LISTING_SCHEMA = "path string, length bigint, modified bigint"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(path)`` of every file below ``root``, whatever its name.
+    """``(path, length, modified)`` of every file below ``root``, whatever its name.
 
-    Folders are listed in tasks, one round for each level of the tree. (Spark's own
-    listing leaves out names that begin with ``_`` or a dot.)
+    ``modified`` counts nanoseconds. Folders are listed in tasks, one round for each level of
+    the tree, and a long one is handed on in pages. (Spark's own listing leaves out names
+    that begin with ``_`` or a dot.)
     """
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,21 +102,25 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for folder in batch.column("path").to_pylist():
                 found = fs.get_file_info(pafs.FileSelector(folder.removeprefix(before)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([before + f.path for f in found], pa.string()),
-                        pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_()),
-                    ],
-                    ["path", "is_folder"],
-                )
+                for at in range(0, len(found), LISTING_PAGE):
+                    some = found[at : at + LISTING_PAGE]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([before + f.path for f in some], pa.string()),
+                            pa.array([f.size for f in some], pa.int64()),
+                            pa.array([f.mtime_ns for f in some], pa.int64()),
+                            pa.array([f.type == pafs.FileType.Directory for f in some], pa.bool_()),
+                        ],
+                        ["path", "length", "modified", "is_folder"],
+                    )
 
     _, top, before = _store(root)
     level, out = spark.createDataFrame([(before + top.rstrip("/"),)], "path string"), None
     while True:
         found, seen = materialize_measured(
-            level.mapInArrow(children, "path string, is_folder boolean"), "listing", folders=F.count_if("is_folder")
+            level.mapInArrow(children, f"{LISTING_SCHEMA}, is_folder boolean"), "listing", folders=F.count_if("is_folder")
         )
-        files = found.where("NOT is_folder").select("path")
+        files = found.where("NOT is_folder").drop("is_folder")
         out = files if out is None else out.unionByName(files)
         if not seen["folders"]:
             return out
@@ -149,10 +156,29 @@ def _opened(paths: DataFrame, root: str, content: bool) -> DataFrame:
     return _dealt(paths).mapInArrow(read, schema)
 
 
-def find_files(spark: SparkSession, root: str, extensions=EXTENSIONS) -> DataFrame:
-    """All supported files below ``root``: path parts and the hash of the content (null if unreadable)."""
-    named = without_artifacts(by_extension(with_path_parts(list_files(spark, root)), extensions))
-    return named.join(_opened(named.select("path"), root, content=False).drop("error"), "path")
+HASHES_SCHEMA = "path string, length bigint, modified bigint, sha256 string, run bigint"
+
+
+def find_files(listing: DataFrame, root: str, extensions=EXTENSIONS, known: DataFrame | None = None) -> DataFrame:
+    """The supported files of a listing: path parts and the hash of the content (null if unreadable).
+
+    ``known`` has hashes of earlier runs (``HASHES_SCHEMA``). A file whose length and time of
+    change are those of its last known hash keeps it and is not opened; ``hashed`` tells the
+    others. Without ``known`` every file is read.
+    """
+    named = without_artifacts(by_extension(with_path_parts(listing), extensions))
+    if known is None:
+        fresh = _opened(named.select("path"), root, content=False).drop("error")
+        return named.join(fresh, "path").withColumn("hashed", F.lit(True))
+    last = known.groupBy("path").agg(F.max_by(F.struct("length", "modified", "sha256"), "run").alias("last"))
+    looked = named.join(last, "path", "left")
+    same = (F.col("length") == F.col("last.length")) & (F.col("modified") == F.col("last.modified"))
+    looked = materialize(looked.withColumn("same", F.coalesce(same & F.col("last.sha256").isNotNull(), F.lit(False))), "looked_up")
+    kept = looked.where("same").withColumn("sha256", F.col("last.sha256"))
+    moved = looked.where("NOT same")
+    moved = moved.join(_opened(moved.select("path"), root, content=False).drop("error"), "path")
+    both = kept.withColumn("hashed", F.lit(False)).unionByName(moved.withColumn("hashed", F.lit(True)))
+    return both.drop("last", "same")
 
 
 def read_content(files: DataFrame, root: str) -> DataFrame:
@@ -163,10 +189,11 @@ def read_content(files: DataFrame, root: str) -> DataFrame:
     return _opened(files.select("path"), root, content=True).drop("sha256")
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Text read off scanned documents beforehand: ``(folder, stem, sidecar)``."""
-    found = list_files(spark, root).where(F.col("path").endswith(SIDECAR_SUFFIX))
-    texts = read_content(found, root).where("error IS NULL").select("path", decode_text(F.col("content")).alias("sidecar"))
-    parts = with_path_parts(texts)
+def read_sidecars(listing: DataFrame, root: str, documents: DataFrame) -> DataFrame:
+    """Text read off scanned documents beforehand: ``(folder, stem, sidecar)``, for ``documents`` alone."""
+    parts = with_path_parts(listing.select("path").where(F.col("path").endswith(SIDECAR_SUFFIX)))
     cut = (F.length("name") - len(SIDECAR_SUFFIX)).cast("int")
-    return parts.select("folder", F.substr("name", F.lit(1), cut).alias("stem"), "sidecar")
+    named = parts.select("path", "folder", F.substr("name", F.lit(1), cut).alias("stem"))
+    named = named.join(documents.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi")
+    texts = read_content(named, root).where("error IS NULL").select("path", decode_text(F.col("content")).alias("sidecar"))
+    return named.join(texts, "path").select("folder", "stem", "sidecar")

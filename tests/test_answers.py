@@ -95,3 +95,10 @@ def test_order_of_resolved_themes_is_kept(spark):
     )
     listed = df.select(F.map_entries("r").alias("e")).first().e
     assert [(e.key, e.value) for e in listed] == [("b", ["x"]), ("a", ["y", "z"]), ("c", [])]
+
+
+def test_a_deeply_nested_answer_that_is_cut_off_is_closed(spark):
+    rows = [(n, '{"k": ' + '[{"x": ' * n + '"cut o') for n in (1, 16, 17, 60)]
+    df = spark.createDataFrame(rows, "n int, raw string").select("n", answers.parse_answer(F.col("raw")).alias("p"))
+    for r in df.select("n", "p.repair", "p.text").collect():
+        assert r.repair == 3 and r.text == rows[[x[0] for x in rows].index(r.n)][1] + '"' + "}]" * r.n + "}"

@@ -121,6 +121,20 @@ def test_runs_are_incremental_and_idempotent(spark, course):
     assert text.startswith("# Told\n\n## Told::Bayes\n\n**Q:** ") and text.count("**Q:**") == 3
 
 
+def test_a_second_run_opens_no_file(spark, course):
+    """Bytes change under the same length and time: only a run that verifies everything sees it."""
+    p = params(course, Model())
+    pipeline.run(spark, p, now_ms=1_000)
+    note = course / "My_Course" / "Week 1.md"
+    state, text = os.stat(note), note.read_text()
+    note.write_text(text.replace("Testing", "Tasting"))
+    os.utime(note, ns=(state.st_atime_ns, state.st_mtime_ns))
+    quiet = {os.path.basename(r.path) for r in pipeline.run(spark, p, now_ms=2_000)["pending"].collect()}
+    p.verify_all = True
+    loud = {os.path.basename(r.path) for r in pipeline.run(spark, p, now_ms=3_000)["pending"].collect()}
+    assert "Week 1.md" not in quiet and loud == quiet | {"Week 1.md"}
+
+
 def test_an_empty_folder_is_no_run(spark, tmp_path):
     (tmp_path / "in").mkdir()
     got = pipeline.run(spark, params(tmp_path / "in", Model()))

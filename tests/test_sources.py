@@ -10,7 +10,7 @@ def test_files_are_found_by_extension(spark, tmp_path):
     course.mkdir()
     for name in ("a.md", "b.txt", "c.MD", "d.html", ".syncthing.a.md", "syncthing-x.txt", "s.ocr.md"):
         (course / name).write_bytes(b"ok \xff")
-    found = files.find_files(spark, str(tmp_path)).collect()
+    found = files.find_files(files.list_files(spark, str(tmp_path)), str(tmp_path)).collect()
     assert sorted(r.name for r in found) == ["a.md", "b.txt"]
     assert {r.folder for r in found} == {str(course)}
     assert {r.stem for r in found} == {"a", "b"}
@@ -57,7 +57,7 @@ def test_files_are_opened_by_name(spark, tmp_path):
     for folder in ("_old", ".kept", "deep/er"):
         (tmp_path / folder).mkdir(parents=True)
         (tmp_path / folder / "x.md").write_text(folder)
-    found = files.find_files(spark, str(tmp_path)).where("name <> 'c?, d.md'")
+    found = files.find_files(files.list_files(spark, str(tmp_path)), str(tmp_path)).where("name <> 'c?, d.md'")
     assert {r.name for r in found.collect()} == {*odd, "x.md"} - {"c?, d.md"}
     got = found.join(files.read_content(found, str(tmp_path)), "path").collect()
     texts = sorted(bytes(r.content).decode() for r in got)
@@ -73,4 +73,37 @@ def test_a_file_that_is_gone_is_an_error_row(spark, tmp_path):
 
 
 def test_an_empty_folder(spark, tmp_path):
-    assert files.find_files(spark, str(tmp_path)).count() == 0
+    assert files.find_files(files.list_files(spark, str(tmp_path)), str(tmp_path)).count() == 0
+
+
+def test_only_files_that_moved_are_opened(spark, tmp_path):
+    """A file that has kept its length and time of change keeps its hash, even if its bytes are others."""
+    import os
+
+    for name in ("a.md", "b.md", "c.md"):
+        (tmp_path / name).write_text(name)
+    root = str(tmp_path)
+    first = files.find_files(files.list_files(spark, root), root)
+    known = spark.createDataFrame(
+        [(r.path, r.length, r.modified, r.sha256, 1) for r in first.collect()], files.HASHES_SCHEMA
+    )
+    before = {r.name: r.sha256 for r in first.collect()}
+    state = os.stat(tmp_path / "a.md")
+    (tmp_path / "a.md").write_text("z.md")
+    os.utime(tmp_path / "a.md", ns=(state.st_atime_ns, state.st_mtime_ns))
+    (tmp_path / "b.md").write_text("other")
+    (tmp_path / "d.md").write_text("new")
+    got = {r.name: r for r in files.find_files(files.list_files(spark, root), root, known=known).collect()}
+    assert {n for n, r in got.items() if r.hashed} == {"b.md", "d.md"}
+    assert got["a.md"].sha256 == before["a.md"] and got["c.md"].sha256 == before["c.md"]
+    assert got["b.md"].sha256 == hashlib.sha256(b"other").hexdigest()
+    whole = {r.name: r.sha256 for r in files.find_files(files.list_files(spark, root), root).collect()}
+    assert whole["a.md"] == hashlib.sha256(b"z.md").hexdigest()
+
+
+def test_sidecars_of_the_documents_asked_for(spark, tmp_path):
+    for name in ("a.ocr.md", "b.ocr.md", "a.pdf"):
+        (tmp_path / name).write_text(name)
+    wanted = spark.createDataFrame([(str(tmp_path), "a"), (str(tmp_path), "c")], "folder string, stem string")
+    got = files.read_sidecars(files.list_files(spark, str(tmp_path)), str(tmp_path), wanted).collect()
+    assert [(r.stem, r.sidecar) for r in got] == [("a", "a.ocr.md")]
