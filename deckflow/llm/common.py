@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.session import file_store
+
 #: Characters of text that one numpy step works on; bounds a worker's memory.
 SLICE_CHARS = 2_000_000
 
@@ -51,10 +51,8 @@ def slices(
         yield batch.slice(first)
 
 
-def shared_files(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder in the shared store, and the path inside it."""
-    uri = re.sub(r"^file:/+", "file:///", uri if "://" in uri or ":" in uri else f"file://{uri}")
-    return pafs.FileSystem.from_uri(uri)
+#: The file system of a folder in the shared store, and the path inside it.
+shared_files = file_store
 
 
 class WordHashes(dict):
