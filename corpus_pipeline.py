@@ -2,9 +2,16 @@
 
 Toxic documents go; of each group of near-duplicates (SimHash) the document with the least
 id stays; documents with a benchmark passage go; personal data is replaced in the texts;
-what is left is packed into sequences, whose token ids the result holds. All stages but the last return the columns of
-``documents``. Of rows of a group that share the least id, and of a group of rows without
-id, one stays, by fingerprint and hash of the text.
+what is left is packed into sequences, whose token ids the result holds. All stages but the
+last return the columns of ``documents``.
+
+Defined cases: of rows of a group that share the least id, and of a group of rows without
+id, one stays, by fingerprint and hash of the text; rows without id go through all stages;
+a null text is an empty one, which no stage but the near-duplicates drops (all empty texts
+are one group) and which is packed as its end id alone; a text of any length is judged,
+searched and packed whole, in pieces of at most one sequence; an empty table makes empty
+stages; further columns of ``documents``, with whatever names, pass through the stages that
+filter, as they are.
 """
 
 from __future__ import annotations
