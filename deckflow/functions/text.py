@@ -22,10 +22,12 @@ DOC_TYPES = ("lecture", "lecture_annotated", "td", "td_corrected")
 ARTIFACT_SUFFIX = ".apkg"
 DECK_SEPARATOR = "::"
 PROBLEM_DECK = "Problems"
+# Code fences around an answer.
+FENCE_OPEN, FENCE_CLOSE = r"^```(?:json)?\s*", r"\s*```$"
 # ----------------------------------------------------------------------------
 
 _SPACE = r"[\s\x1c-\x1f]"
-# Anything that is not a letter, mark, digit or underscore separates terms.
+# A character of a term; all others separate terms.
 TERM = r"[\p{L}\p{M}\p{N}_]"
 
 
@@ -93,5 +95,5 @@ def card_text(question: Column, answer: Column) -> Column:
 
 def strip_fences(raw: Column) -> Column:
     """Remove a Markdown code fence around an answer."""
-    opened = F.regexp_replace(strip(raw), r"(?U)^```(?:json)?\s*", "")
-    return strip(F.regexp_replace(opened, r"(?U)\s*```$", ""))
+    opened = F.regexp_replace(strip(raw), f"(?U){FENCE_OPEN}", "")
+    return strip(F.regexp_replace(opened, f"(?U){FENCE_CLOSE}", ""))

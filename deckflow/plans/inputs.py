@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.functions import text
 from deckflow.functions.ids import BASE62_DIGITS
 from deckflow.functions.text import deck_name
 from deckflow.operators import store
@@ -91,10 +92,10 @@ def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_SQL = other_sql(f"""
 docs AS (
   SELECT *, lower(trim(regexp_replace(stem,
-      '(?i)\\s*(annotated|corrected|solutions?|correction|notes?|slides?)\\s*$', ''))) AS base_name,
-    CASE WHEN regexp_matches(stem, '(?i)\\b(corrected|solutions?|correction)\\b') THEN 'td_corrected'
-         WHEN regexp_matches(stem, '(?i)\\b(td|tp|exercices?|worksheet)\\b') THEN 'td'
-         WHEN regexp_matches(stem, '(?i)\\b(annotated|notes?)\\b') THEN 'lecture_annotated'
+      '(?i)\\s*({text.VARIANT_WORDS})\\s*$', ''))) AS base_name,
+    CASE WHEN regexp_matches(stem, '(?i)\\b({text.CORRECTED_WORDS})\\b') THEN 'td_corrected'
+         WHEN regexp_matches(stem, '(?i)\\b({text.EXERCISE_WORDS})\\b') THEN 'td'
+         WHEN regexp_matches(stem, '(?i)\\b({text.ANNOTATED_WORDS})\\b') THEN 'lecture_annotated'
          ELSE 'lecture' END AS doc_type
   FROM (SELECT *, stem || ext AS name, folder || '/' || stem || ext AS path
         FROM (SELECT doc_id, text, {DOC_FOLDER} AS folder, {DOC_STEM} AS stem, {DOC_EXT} AS ext,

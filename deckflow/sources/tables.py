@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored table, or an empty one where nothing was written yet."""
-    if exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    try:
+        found = spark.read.schema(schema).parquet(path)
+        found.schema  # a remote session looks at the path only now
+        return found
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], schema)
