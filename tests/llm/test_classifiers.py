@@ -206,3 +206,34 @@ def test_code_length_does_not_depend_on_pieces(spark):
     whole = model.bits(data)
     parts = sum(model.bits(data[k : k + 100], data[max(0, k - 3) : k]) for k in range(0, len(data), 100))
     assert np.allclose(whole, parts)
+
+
+def test_ftrl_equals_a_plain_loop():
+    """Every coordinate on its own, as the method is written down."""
+    import math
+    import random
+
+    rng, size = random.Random(3), 30
+    rows = [(np.array(sorted(rng.sample(range(size), rng.randint(0, 8))), np.int64), rng.randint(0, 1)) for _ in range(120)]
+    values = np.array([rng.choice([1.0, 0.5]) for _ in range(size)])
+    model = toxicity.Ftrl(alpha=0.4, beta=1.2, l1=0.6, l2=0.1)
+    weights, bias = model.fit(rows, values, epochs=3)
+    z, n, last = [0.0] * (size + 1), [0.0] * (size + 1), size
+
+    def weight(i):
+        l1 = 0.0 if i == last else 0.6
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((1.2 + math.sqrt(n[i])) / 0.4 + 0.1)
+
+    for _ in range(3):
+        for at, label in rows:
+            x = {int(i): float(values[i]) for i in at} | {last: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.4 * w[i]
+                n[i] += g * g
+    assert np.allclose(weights, [weight(i) * values[i] for i in range(size)]) and math.isclose(bias, weight(last))
+    assert 0 < np.count_nonzero(weights) < size

@@ -50,9 +50,6 @@ def test_contaminated_documents_go(stored):
 
 
 def test_personal_data_goes(stored):
-    import sys
-
-    sys.path.insert(0, "tests/llm")
     from test_pii import brute
 
     assert ids(stored[4]) == ids(stored[3])

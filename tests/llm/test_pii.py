@@ -89,3 +89,46 @@ def test_edges(spark, edges):
     assert clean[3].text is None and "[EMAIL]" in clean[6].text and clean[6].n_chars == len(clean[6].text)
     assert pii.redact(edges, model).columns == edges.columns
     assert pii.find(edges.limit(0), pii.train(edges.limit(0))).count() == 0
+
+
+def test_gradient_equals_finite_differences():
+    """One step of learning against the likelihood over all paths of labels."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = pii._features(["call", "+1", "415"])
+    labels = len(pii.LABELS)
+    y = np.array([0, pii.LABELS.index("B-phone"), pii.LABELS.index("I-phone")])
+    model = pii.Model.empty()
+    model.emission[np.unique(x)] = rng.normal(size=(len(np.unique(x)), labels)) * 0.3
+    model.transition[:] = rng.normal(size=model.transition.shape) * 0.3
+    emission, transition, rules = model.emission.copy(), model.transition.copy(), pii._allowed()
+
+    def loss():
+        score, move = emission[x].sum(axis=1), transition + rules
+        total = {}
+        for path in itertools.product(range(labels), repeat=len(x)):
+            s = score[0, path[0]] + move[0, path[0]]
+            for t in range(1, len(x)):
+                s += score[t, path[t]] + move[1 + path[t - 1], path[t]]
+            total[path] = s
+        return np.logaddexp.reduce(list(total.values())) - total[tuple(y)]
+
+    model.learn([(x, y)], epochs=1, rate=1.0, l2=0.0)
+
+    def gradient(before, after):
+        step = before - after  # g / sqrt(1e-6 + g * g)
+        return step * 1e-3 / np.sqrt(np.maximum(1 - step * step, 1e-300))
+
+    for weights, learnt in ((emission, model.emission), (transition, model.transition)):
+        found, at = gradient(weights, learnt), [(int(r), c) for r in (np.unique(x)[:3] if weights is emission else range(3)) for c in range(labels)]
+        for place in at:
+            kept, h = weights[place], 1e-5
+            weights[place] = kept + h
+            above = loss()
+            weights[place] = kept - h
+            below = loss()
+            weights[place] = kept
+            assert abs((above - below) / (2 * h) - found[place]) < 1e-5
