@@ -8,8 +8,10 @@ repeats until one of its lengths runs out. The pieces themselves stay in Spark;
 its rank within its length, and the rank its place.
 
 Defined cases: a null text is an empty one, which still has its end id; equal lengths and
-repeated rows are interchangeable and ordered by id, piece and content; an empty table
-gives no rows; other columns are not read.
+repeated rows are interchangeable and ordered by id, piece and content; very long texts are
+cut into pieces one after another; an empty table gives no rows; other columns of documents
+are not read, and further columns of pieces keep their values whatever their names, but for
+``sequence_id`` and ``offset``, which are replaced.
 """
 
 from __future__ import annotations
@@ -143,43 +145,49 @@ def _places(patterns: list[tuple[int, list[int]]], capacity: int) -> dict[str, n
     return {n: np.array([r[i] for r in rows], np.int64) for i, n in enumerate(names)}
 
 
+def _unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores behind as no column has."""
+    taken = {c.lower() for c in columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken) for n in names]
+
+
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """``pieces`` (``doc_id, piece, length, ids_crc32`` and any more) with their places.
 
     Adds ``sequence_id`` and ``offset``. ``pieces`` should be stored, as it is read twice.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    bucket, rank, earlier = _unused(pieces.columns, "bucket", "rank", "before")
     # Ranks within a length are counted in buckets, so that a length that a third of all
     # pieces share is not sorted in one task.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = materialize(dealt.groupBy("length", "bucket").count(), "length_counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    counts = materialize(dealt.groupBy("length", bucket).agg(F.count("*").alias("n")), "length_counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(best_two_fit(histogram, capacity), capacity)
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(
-        "length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
-    )
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(earlier))
+    within = Window.partitionBy("length", bucket).orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
-        dealt.withColumn("rank", F.row_number().over(within) - 1)
-        .join(bases, ["length", "bucket"])
-        .withColumn("rank", F.col("rank") + F.col("before"))
-        .drop("bucket", "before")
+        dealt.withColumn(rank, F.row_number().over(within) - 1)
+        .join(bases, ["length", bucket])
+        .withColumn(rank, F.col(rank) + F.col(earlier))
+        .drop(bucket, earlier)
     )
-    kept = [c for c in ranked.columns if c != "rank"]
+    kept = [c for c in ranked.columns if c != rank]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (places["length"] << 44) + places["first"]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            at = key.searchsorted((length << 44) + rank, "right") - 1
-            times, slot = np.divmod(rank - places["first"][at], places["uses"][at])
+            length, ranks = (batch.column(c).to_numpy() for c in ("length", rank))
+            at = key.searchsorted((length << 44) + ranks, "right") - 1
+            times, slot = np.divmod(ranks - places["first"][at], places["uses"][at])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept]
                 + [pa.array(places["sequence"][at] + times), pa.array(places["offset"][at] + slot * length)],
                 [*kept, "sequence_id", "offset"],
             )
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "rank")
+    fields = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != rank)
     return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")

@@ -98,3 +98,19 @@ def test_one_length_for_a_third_and_an_empty_table(spark, edges):
     rows = packing.pack(materialize(packing.pieces(docs, tokens.word_bpe(), capacity=7), "pieces"), 7).collect()
     assert check(rows, [(r.doc_id, r.text) for r in docs.collect()], 7) == 125
     assert packing.pack(packing.pieces(edges.limit(0), tokens.word_bpe())).count() == 0
+
+
+def test_further_columns_keep_their_values(spark):
+    rows = [(i, 0, 0, 1 + i % 5, i, f"b{i}", i * 2, i * 3, -1, "o") for i in range(60)]
+    fields = packing.PIECE + ", bucket string, Rank long, before int, sequence_id int, offset string"
+    got = packing.pack(spark.createDataFrame(rows, fields), 10)
+    assert sorted(got.columns) == sorted(fields.replace(",", "").split()[::2])
+    ends = {}
+    for r in got.collect():
+        assert (r.bucket, r.Rank, r.before) == (f"b{r.doc_id}", r.doc_id * 2, r.doc_id * 3)
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in ends.values():
+        places.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+        assert sum(n for _, n in places) <= 10
+    assert sum(map(len, ends.values())) == 60
