@@ -1,7 +1,8 @@
 """Quality rules: counts of a text, and a calibrated classifier of hashed n-grams.
 
 The classifier is a logistic regression over the shares of hashed words, word pairs and
-byte n-grams (of four bytes, so capitals, marks and repeated signs tell as well). It is fitted on a
+character n-grams (of four code points, so capitals, marks and repeated signs tell as well,
+alike in every alphabet). It is fitted on a
 sample of labelled rows bounded by ``sample_rows`` per label; a fifth of the sample, kept
 out of the fit, calibrates the score into a probability (Platt). Texts are scored in Arrow
 batches and kept from a fixed probability on.
@@ -9,7 +10,7 @@ batches and kept from a fixed probability on.
 Defined cases: a null text is an empty one: no words, failed by the length rule; rows
 with a null label or id teach nothing; where a label is missing altogether, the classifier
 keeps every text; a text with two labels counts as bad; ties and repeated rows get equal
-results; an empty table gives no rows; other columns are not read.
+results; very long texts are counted and scored whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,11 +54,14 @@ def counts(text: str, words: list[bytes], hashes: np.ndarray) -> tuple[int, int,
     return chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def coordinates(data: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashed words and pairs, and hashed byte n-grams, with repeats."""
+def coordinates(text: str, hashes: np.ndarray) -> list[np.ndarray]:
+    """Hashed words and pairs, and hashed character n-grams, with repeats."""
     words = np.concatenate([hashes, mixed(hashes[:-1], hashes[1:], 7)])
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    grams = (b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24) * np.uint32(0x9E3779B1)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    grams = c[:-3] if len(c) > 3 else c[:0]
+    for k in range(1, 4):
+        grams = grams * np.uint32(0x9E3779B1) + c[k : k + len(grams)]
+    grams = grams * np.uint32(0x85EBCA77)
     return [
         (words >> np.uint64(64 - BITS)).astype(np.uint32),
         (grams >> np.uint32(32 - BITS)) + np.uint32(1 << BITS),
@@ -66,23 +70,23 @@ def coordinates(data: bytes, hashes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """Weights of word and byte coordinates, and the calibration of their sum."""
+    """Weights of word and character coordinates, and the calibration of their sum."""
 
     weight: np.ndarray | None = None
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
 
-    def probability(self, data: bytes, hashes: np.ndarray) -> float:
+    def probability(self, text: str, hashes: np.ndarray) -> float:
         if self.weight is None:
             return 1.0
-        raw = self.bias + sum(float(self.weight[at].mean()) for at in coordinates(data, hashes) if len(at))
+        raw = self.bias + sum(float(self.weight[at].mean()) for at in coordinates(text, hashes) if len(at))
         return float(1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -35, 35))))
 
 
-def _shares(data: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shares(text: str, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, share = [], []
-    for of in coordinates(data, hashes):
+    for of in coordinates(text, hashes):
         where, n = np.unique(of, return_counts=True)
         at.append(where)
         share.append(n / max(1, len(of)))
@@ -146,8 +150,8 @@ def train(
             for some in slices(batch):
                 got = []
                 for text in some.column("text").to_pylist():
-                    data = (text or "").encode()
-                    at, share = _shares(data, WORD_HASHES.of(data.split()))
+                    text = text or ""
+                    at, share = _shares(text, WORD_HASHES.of(text.encode().split()))
                     got.append((at.tobytes(), share.tobytes()))
                 columns = [pa.array(c, pa.binary()) for c in zip(*got)]
                 yield pa.RecordBatch.from_arrays(
@@ -202,12 +206,11 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
                 got = []
                 for text in some.column("text").to_pylist():
                     text = text or ""
-                    data = text.encode()
-                    words = data.split()
+                    words = text.encode().split()
                     hashes = WORD_HASHES.of(words)
                     n, base = len(words), counts(text, words, hashes)
                     failed = n < MIN_WORDS or 100 * base[3] > MAX_REPEAT_PERCENT * n
-                    p = model.probability(data, hashes)
+                    p = model.probability(text, hashes)
                     got.append((n, *base, failed, not failed and p >= threshold, p))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays(

@@ -96,6 +96,15 @@ def test_quality_counts_equal_brute_force(spark, edges):
     assert got == sorted(want)
 
 
+def test_quality_reads_characters():
+    """A character n-gram is four code points, whatever their bytes."""
+    none = np.zeros(0, np.uint64)
+    words, grams = quality.coordinates("ключ ключ 鍵です🔑", none)
+    assert len(words) == 0 and len(grams) == len("ключ ключ 鍵です🔑") - 3
+    assert (grams[:2] == grams[5:7]).all() and len(set(grams.tolist())) == len(grams) - 2
+    assert [len(quality.coordinates("x" * n, none)[1]) for n in range(6)] == [0, 0, 0, 0, 1, 2]
+
+
 def test_quality_classifier(spark):
     labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").df()
     got = QUERIES["op4_quality"](spark, SF).toPandas().merge(labels, on="doc_id", suffixes=("_p", ""))
