@@ -14,8 +14,11 @@ representatives with a single region are unique. Only where one name has differe
 regions, at the ends of a repeat or by chance, the windows of their first occurrences are
 verified one by one, by digests of their words.
 
-A task drops regions (and windows) that it has itself seen earlier, so a passage that many
-documents share does not gather in one place.
+A task drops regions (and windows) that it has itself seen earlier. Names that stand often in
+a sample of documents (a phrase that a third of all texts hold amid different neighbours) do
+not gather in one place: their rows pass through the first shuffle spread by their places, and
+what is asked of them is aggregated before it is shuffled. The sample decides on the way
+alone; both ways give the same rows.
 
 Defined cases: a null or empty text has no words (digest of the empty string); texts
 shorter than a window lose nothing, and very long ones are parsed whole; rows without id
@@ -42,6 +45,11 @@ from deckflow.session import materialize
 SIZE = 20
 #: One of runs, the others of pairs.
 ROUNDS = 4
+#: Documents looked at for frequent names, how often a name stands in them to count as frequent,
+#: and how many names take the way of the frequent at most (those beyond go with the others).
+SAMPLE_ROWS = 4_000
+FREQUENT = 8
+FREQUENT_NAMES = 10_000
 
 
 @dataclass
@@ -173,42 +181,80 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
             yield some, Batch.of(*(some.column(c).to_pylist() for c in ("doc_id", "key", "text")))
 
 
-def repeated_windows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequent_names(rows: DataFrame, size: int = SIZE, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Names that many documents hold, in ascending order; at most ``FREQUENT_NAMES``."""
+    n = rows.count()
+    share = min(1.0, sample_rows / n) if n else 1.0
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, batch in _batches(batches):
+            # Copies and repeats of a passage count once a slice, as they are settled there.
+            got = regions(batch, size)
+            pairs = np.unique(np.stack([got["name"].view(np.int64), got["region"].view(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0])], ["name"])
+
+    counted = rows.sample(share, 7).mapInArrow(parse, "name long").groupBy("name").agg(F.count("*").alias("n"))
+    often = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "name").limit(FREQUENT_NAMES).collect()
+    return np.array(sorted(r["name"] for r in often), np.int64)
+
+
+def repeated_windows(
+    docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", frequent: np.ndarray | None = None
+) -> DataFrame:
     """``doc_id, key, start, n``: the ``n`` windows from word ``start`` on stand earlier as well.
 
-    ``key`` is the hash of the text.
+    ``key`` is the hash of the text. ``frequent`` are names in ascending order, those of
+    ``frequent_names`` unless given.
     """
     rows = text_rows(docs, id_col, text_col).filter("doc_id is not null").withColumn("key", F.xxhash64("text"))
+    often = frequent_names(rows, size) if frequent is None else frequent
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, batch in _batches(batches):
             got = regions(batch, size)
+            name = got["name"].view(np.int64)
             both = mixed(got["name"].view(np.uint64), got["region"].view(np.uint64), 5)
             known = _repeats(both, got["doc_id"], got["start"], got["key"])
-            # What is settled here only passes through the shuffle, spread by its place.
+            hot = np.isin(name, often) & ~known
+            # What is settled here, or elsewhere, only passes through the shuffle, spread by its place.
             spread = mixed(got["doc_id"].view(np.uint64), (got["start"] >> 6).view(np.uint64), 6).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.where(known, spread, got["name"])),
+                    pa.array(np.where(known | hot, spread, name)),
                     pa.array(np.where(known, 0, got["region"])),
                     pa.array(got["doc_id"]),
                     pa.array(got["key"]),
                     pa.array(got["start"].astype(np.int32)),
                     pa.array(got["n"].astype(np.int16)),
                     pa.array(known),
+                    pa.array(name, mask=~hot),
                 ],
-                ["name", "region", "doc_id", "key", "start", "n", "known"],
+                ["name", "region", "doc_id", "key", "start", "n", "known", "hot"],
             )
 
-    found = rows.mapInArrow(parse, "name long, region long, doc_id long, key long, start int, n short, known boolean")
+    fields = "name long, region long, doc_id long, key long, start int, n short, known boolean, hot long"
+    found = rows.mapInArrow(parse, fields)
     by_name, by_region = Window.partitionBy("name"), Window.partitionBy("name", "region")
     place = F.struct("doc_id", "start", "key")
     told = (
         found.withColumn("one", F.min("region").over(by_name) == F.max("region").over(by_name))
         .withColumn("again", F.col("known") | (F.min(place).over(by_region) != place))
-        .filter("again or not one")
+        .filter("again or not one or hot is not null")
+    )
+    region = F.when(F.col("hot").isNotNull(), F.col("region")).alias("region")
+    told = materialize(told.select("doc_id", "key", "start", "n", "again", "hot", region), "regions")
+    hot = told.filter("hot is not null").drop("again")
+    firsts = hot.groupBy("hot", "region").agg(F.min(place).alias("first"))
+    # One row for each of at most FREQUENT_NAMES names.
+    several = firsts.groupBy("hot").agg((F.min("region") != F.max("region")).alias("several"))
+    settled = (
+        hot.join(firsts, ["hot", "region"])
+        .join(F.broadcast(several), "hot")
+        .withColumn("again", F.col("first") != place)
+        .filter("again or several")
+        .select("doc_id", "key", "start", "n", "again")
     )
-    told = materialize(told.select("doc_id", "key", "start", "n", "again"), "regions")
+    told = told.filter("hot is null").select(settled.columns).unionByName(materialize(settled, "frequent_regions"))
     ask = told.filter("not again").groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "n")).alias("ask"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,31 @@ def test_equals_brute_force(spark, seed, words, size):
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
+def test_frequent_names_take_another_way_to_the_same_rows(spark, monkeypatch):
+    """A phrase amid different neighbours in every text, with all, some or no names frequent."""
+    rng = random.Random(3)
+    phrase = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, " ".join([f"a{i}", phrase[rng.randint(0, 40) :], f"b{i}", " ".join(f"c{rng.randint(0, 4)}" for _ in range(25))])) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parsed = substrings.text_rows(table).withColumn("key", substrings.F.xxhash64("text"))
+    some = substrings.frequent_names(parsed)
+    assert 0 < len(some) and (np.diff(some) > 0).all()
+    monkeypatch.setattr(substrings, "FREQUENT", 1)
+    every = substrings.frequent_names(parsed)
+    assert len(every) > len(some)
+
+    def windows(often):
+        return {
+            (r.doc_id, s)
+            for r in substrings.repeated_windows(table, frequent=often).collect()
+            for s in range(r.start, r.start + r.n)
+        }
+
+    none = windows(np.zeros(0, np.int64))
+    assert none and windows(some) == none and windows(every) == none
+    assert len(substrings.frequent_names(parsed.limit(0))) == 0
+
+
 def test_equal_windows_have_equal_representatives():
     rng = random.Random(7)
     words = [w.encode() for w in rng.choices("abcdefgh", k=80)]
