@@ -24,13 +24,9 @@ from deckflow.operators import (
     themes,
 )
 from deckflow.session import materialize, materialize_measured
-from deckflow.sources import files, parts
+from deckflow.sources import card_store, files, parts
 from deckflow.sources.tables import read_or_empty
 
-STORE_SCHEMA = (
-    "nid bigint, guid string, deck string, question string, answer string, note string,"
-    " csum bigint, mod timestamp, cid bigint, did bigint, due bigint, subject string"
-)
 REGISTRY_SCHEMA = (
     "subject string, canonical string, alias string,"
     " ordinal struct<gen:bigint,new:int,part:bigint,c:bigint,a:bigint>, run bigint"
@@ -161,9 +157,9 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     read_now = found.where("hashed AND sha256 IS NOT NULL").select("path", "length", "modified", "sha256")
     read_now.withColumn("run", F.lit(now_ms).cast("bigint")).write.mode("append").parquet(p.path("hashes"))
     found = found.drop("length", "modified", "hashed")
-    held = read_or_empty(spark, p.path("store"), STORE_SCHEMA)
+    held = card_store.read(spark, p.path("collection"))
     log = read_or_empty(spark, p.path("ledger"), ledger.LEDGER_SCHEMA)
-    present = held.select("subject").distinct().select(artifact.alias("artifact"))
+    present = held.subjects().select(artifact.alias("artifact"))
     pending, seen = materialize_measured(
         ledger.pending_files(found, ledger.latest_entries(log), present),
         "pending",
@@ -246,9 +242,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     canonicals = themes.subject_canonicals(items)
 
     # Cards per theme, without those that repeat an earlier one.
-    existing = store.existing_questions(
-        held.select("subject", "deck", "nid", "question")
-    )
+    existing = store.existing_questions(held.snapshot())
     recall_asked, recall_told = ask(
         requests.recall_requests(canonicals, themes.theme_content(items, "recall_concepts"), existing, p.request_items),
         "recall",
@@ -284,11 +278,11 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     ).drop("vec")
     kept = materialize(kept, "kept")
     if p.against_stored:
-        kept = _unlike_stored(kept, held, p)
+        kept = _unlike_stored(kept, held.notes, p)
 
-    # Insert what the store lacks, in one append.
-    fresh = store.new_cards(kept, held, F.col("ordinal"))
-    maxima = store.store_maxima(held, held)
+    # Insert what the store lacks, as one batch of notes, cards and decks.
+    fresh = store.new_cards(kept, held.notes, F.col("ordinal"))
+    maxima = store.store_maxima(held.notes, held.cards)
     inserted = materialize(
         store.assign_ids(fresh, maxima, F.lit(now_ms))
         .withColumn("mod", F.timestamp_millis(F.lit(now_ms)))
@@ -298,13 +292,7 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
         ),
         "inserted",
     )
-    (
-        inserted.select(*[c.split()[0] for c in STORE_SCHEMA.split(", ")])
-        .repartitionByRange("subject", "nid")
-        .write.mode("append")
-        .partitionBy("subject")
-        .parquet(p.path("store"))
-    )
+    card_store.commit(inserted, p.path("collection"), now_ms)
     grown = themes.registry_with(known, entries, p.register_new)
     added_names = (
         grown.where(F.col("ordinal.gen") == themes.FRESH)
@@ -314,8 +302,8 @@ def run(spark: SparkSession, p: Params, now_ms: int | None = None) -> dict[str,
     added_names.write.mode("append").parquet(p.path("registry"))
 
     # Full snapshots of the subjects of this run.
-    held = read_or_empty(spark, p.path("store"), STORE_SCHEMA)
-    touched = held.join(canonicals.select("subject").distinct(), "subject", "left_semi")
+    held = card_store.read(spark, p.path("collection"))
+    touched = held.snapshot().join(canonicals.select("subject").distinct(), "subject", "left_semi")
     exports.write_markdown(touched, p.path("markdown"))
     exports.write_csv(touched, p.path("csv"))
 
@@ -372,7 +360,7 @@ def _confirmation(cards: DataFrame, p: Params, id: str = "card_no") -> neardup.C
     )
 
 
-def _unlike_stored(cards: DataFrame, held: DataFrame, p: Params) -> DataFrame:
+def _unlike_stored(cards: DataFrame, notes: DataFrame, p: Params) -> DataFrame:
     """Cards that are no near-duplicate of a stored one either.
 
     Only new cards are compared with stored ones: a stored card drops a new one also
@@ -380,7 +368,7 @@ def _unlike_stored(cards: DataFrame, held: DataFrame, p: Params) -> DataFrame:
     this run, so cards of both kinds are embedded together.
     """
     subjects = cards.select("subject").distinct()
-    old = held.join(subjects, "subject", "left_semi").select(
+    old = notes.join(subjects, "subject", "left_semi").select(
         "subject", "question", "answer",
         F.concat(F.lit("0"), F.col("subject"), F.lit("\x1f"), F.col("guid")).alias("at"),
         text.card_text(F.col("question"), F.col("answer")).alias("text"),

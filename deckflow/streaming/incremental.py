@@ -4,13 +4,19 @@ A stream with ``availableNow`` is the timer's run: it reads the files that came
 the last one. The ledger is checked inside the batch, because a file source does not
 deliver a rewritten file again, and may deliver a batch twice after a failure. The
 upsert only inserts unknown guids, so a repeated batch changes nothing.
+
+Store and ledger are partitioned by a hash of their keys, and a batch reads the buckets of
+its own subjects and paths only. The artifact of a source is what the store holds of its
+subject. A source whose artifact is gone is taken again: if it arrives once more, and at the
+start of a run from what arrived earlier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.functions.text import artifact_name
 from deckflow.operators import ledger, store
 from deckflow.session import materialize, scratch_path
 from deckflow.sources.tables import read_or_empty
@@ -19,32 +25,78 @@ HELD_SCHEMA = "subject string, guid string, deck string, question string, answer
 ENTRY_SCHEMA = "path string, sha256 string, artifact string, run bigint"
 
 
+# Folders of the store and of the ledger; fixed, as stored rows are found by it.
+BUCKETS = 64
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def stored_beside(batch: DataFrame, key: str, path: str, schema: str) -> DataFrame:
+    """The stored rows in the buckets of the batch's keys: at most BUCKETS numbers are collected."""
+    wanted = [r[0] for r in batch.select(_bucket(key)).distinct().collect()]
+    rows = read_or_empty(batch.sparkSession, path, f"{schema}, bucket int")
+    return rows.where(F.col("bucket").isin(wanted)).drop("bucket")
+
+
+def _append(rows: DataFrame, key: str, path: str) -> None:
+    # Few files a bucket, while one that holds most rows is still written by several tasks.
+    dealt = rows.withColumn("bucket", _bucket(key)).hint("rebalance", "bucket")
+    dealt.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _artifacts(subjects: DataFrame) -> DataFrame:
+    return subjects.select(artifact_name(F.col("subject")).alias("artifact")).distinct()
+
+
 def absorb(batch: DataFrame, run: int, store_path: str, ledger_path: str) -> None:
     """Insert the cards of one batch that are neither recorded nor stored.
 
     ``batch`` has ``path, sha256, subject, deck, ordinal, question, answer, note``.
     The ledger is written last: a crash repeats work and loses none.
     """
-    spark = batch.sparkSession
-    known = ledger.latest_entries(read_or_empty(spark, ledger_path, ENTRY_SCHEMA))
-    no_artifacts = spark.createDataFrame([], "artifact string")
-    pending = materialize(ledger.pending_files(batch, known, no_artifacts).drop("reason"), "pending")
-    held = read_or_empty(spark, store_path, HELD_SCHEMA)
-    fresh = store.new_cards(pending, held, F.col("ordinal"))
+    known = ledger.latest_entries(stored_beside(batch, "path", ledger_path, ENTRY_SCHEMA))
+    held = stored_beside(batch, "subject", store_path, HELD_SCHEMA)
+    pending = materialize(ledger.pending_files(batch, known, _artifacts(held)).drop("reason"), "pending")
     columns = ["subject", "guid", "deck", "question", "answer", "note"]
-    fresh.select(*columns).write.mode("append").parquet(store_path)
-    pending.select(
+    fresh = materialize(store.new_cards(pending, held, F.col("ordinal")).select(*columns), "fresh")
+    # Looked at before the store grows.
+    present = materialize(_artifacts(held.select("subject").unionByName(fresh.select("subject"))), "artifacts")
+    _append(fresh, "subject", store_path)
+    named = pending.select("path", "sha256", artifact_name(F.col("subject")).alias("artifact"))
+    recorded = named.join(present.withColumn("there", F.lit(True)), "artifact", "left").select(
         "path",
         "sha256",
-        F.lit(None).cast("string").alias("artifact"),
+        F.when(F.col("there"), F.col("artifact")).alias("artifact"),
         F.lit(run).cast("bigint").alias("run"),
-    ).write.mode("append").parquet(ledger_path)
+    )
+    _append(recorded, "path", ledger_path)
+
+
+def redo_lost(spark: SparkSession, arrivals: str, schema, store_path: str, ledger_path: str) -> bool:
+    """Take recorded sources again whose artifact is gone; whether there were any.
+
+    Of a source that arrived in several versions the recorded one counts.
+    """
+    log = ledger.latest_entries(read_or_empty(spark, ledger_path, ENTRY_SCHEMA))
+    present = _artifacts(read_or_empty(spark, store_path, HELD_SCHEMA))
+    lost = log.where("artifact IS NOT NULL").join(present, "artifact", "left_anti").select("path", "sha256")
+    sources = materialize(
+        read_or_empty(spark, arrivals, schema).join(lost, ["path", "sha256"], "left_semi").distinct(), "lost"
+    )
+    if sources.isEmpty():
+        return False
+    # The entries are those of the ledger, so they rank behind every batch.
+    absorb(sources, -1, store_path, ledger_path)
+    return True
 
 
 def run_available(
     spark: SparkSession, arrivals: str, schema, checkpoint: str, store_path: str, ledger_path: str
 ) -> None:
-    """Take every file in ``arrivals`` that no earlier run has seen, then stop."""
+    """Take what was lost and every file in ``arrivals`` that no earlier run has seen, then stop."""
+    redo_lost(spark, arrivals, schema, store_path, ledger_path)
     stream = (
         spark.readStream.schema(schema)
         .parquet(arrivals)

@@ -9,6 +9,7 @@ import pytest
 from pyspark import cloudpickle
 
 from deckflow.plans import pipeline
+from deckflow.sources import card_store
 
 # The model below is defined here, and executors cannot import a test file.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -232,3 +233,24 @@ def test_embedders_may_replace_terms(spark, course):
     got = pipeline.run(spark, p, now_ms=1_000)
     asked = {r.question for r in got["inserted"].collect() if r.subject == "Told"}
     assert asked == {LONG.format(t="Bayes"), "State Bayes", "Solve Bayes"}
+
+
+def test_a_run_that_dies_between_the_tables_leaves_nothing(spark, course, monkeypatch):
+    p = params(course, Model())
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(card_store.store, "deck_table", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            pipeline.run(spark, p)
+    assert spark.read.parquet(p.path("collection") + "/notes").count() > 0
+    dead = card_store.read(spark, p.path("collection"))
+    assert dead.snapshot().count() == dead.notes.count() == 0
+    made = pipeline.run(spark, p)["inserted"].count()
+    stored = card_store.read(spark, p.path("collection"))
+    assert stored.snapshot().count() == stored.cards.count() == stored.notes.count() == made > 0
+    decks = {r.name: r.parent for r in stored.decks.collect()}
+    assert all(parent is None or parent in decks for parent in decks.values()) and any(decks.values())
+    assert {r.deck for r in stored.snapshot().collect()} <= set(decks)
