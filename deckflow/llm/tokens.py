@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -20,7 +21,16 @@ def word_bpe() -> str:
 #: and the normalizer lowers such letters one by one.
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
 
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+class _Words(dict):
+    """Ids of words; one that is missing is learned when it is asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self._learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._learn(word)
+        return ids
 
 
 class WordEncoder:
@@ -43,48 +53,35 @@ class WordEncoder:
         # Small Latin letters as the byte-level step spells them; normalizer and pattern leave them alone.
         split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self._bytes = {c: split(chr(c))[0][0] for c in range(0xDF, 0x100)}
-        self._seen: dict[str, bytes] = {"": b""}
-        # Words as they are encoded, in two generations: what is in use outlives a full table.
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._kind = "H" if self.dtype.itemsize == 2 else "I"
+        # Words and parts of words in one table of two generations: what is in use outlives a
+        # full table, and a small word that is its own part is held once.
+        self._young, self._old = _Words(self._learn), {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian in ``dtype``; a null text has none."""
-        words = [
-            (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if len(self._young) > 2 * self._limit:
+            self._old, self._young = self._young, _Words(self._learn)
+        ids = self._young.__getitem__
+        return [
+            b"".join(map(ids, (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
             for t in texts
         ]
-        if len(self._seen) > self._limit:
-            self._seen = {"": b""}
-        seen = self._seen
-        self._learn([w for w in set().union(*words) if w not in seen])
-        return [b"".join(map(seen.__getitem__, w)) for w in words]
-
-    def _learn(self, words: list[str]) -> None:
-        parts = []
-        for word in words:
+
+    def _learn(self, word: str) -> bytes:
+        if word in self._old:
+            return self._old[word]
+        if word.isascii() and word.isalpha():
+            core, marks = word.lower(), ""
+        else:
             found = _PARTS.fullmatch(word)
-            parts.append((found[1].lower(), found[2]) if found else (word, ""))
-        if len(self._young) > 2 * self._limit:
-            self._old, self._young = self._young, {}
-        young, old, new = self._young, self._old, []
-        for part in set().union(*parts):
-            if part not in young:
-                if part in old:
-                    young[part] = old[part]
-                else:
-                    new.append(part)
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        rest = []
-        for part in new:
-            if _LETTERS.fullmatch(part):
-                young[part] = array(kind, [t.id for t in self._model.tokenize(part.translate(self._bytes))]).tobytes()
-            else:
-                rest.append(part)
-        for part, got in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            young[part] = array(kind, got.ids).tobytes()
-        for word, (core, marks) in zip(words, parts):
-            self._seen[word] = young[core] + young[marks]
+            if not found:
+                return array(self._kind, self._tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            core, marks = found[1].lower(), found[2]
+        if core != word:
+            return self._young[core] + self._young[marks]
+        spelled = core if core.isascii() else core.translate(self._bytes)
+        return array(self._kind, [t.id for t in self._model.tokenize(spelled)]).tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -114,3 +114,19 @@ def test_further_columns_keep_their_values(spark):
         assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
         assert sum(n for _, n in places) <= 10
     assert sum(map(len, ends.values())) == 60
+
+
+def test_a_word_in_use_is_taken_apart_once(monkeypatch):
+    matched = []
+
+    class Parts:
+        @staticmethod
+        def fullmatch(word, pattern=tokens._PARTS):
+            matched.append(word)
+            return pattern.fullmatch(word)
+
+    monkeypatch.setattr(tokens, "_PARTS", Parts)
+    words = tokens.WordEncoder(tokens.word_bpe(), 10)
+    for n in range(6):  # every call brings more words than the limit
+        words.encode(["Often, " + " ".join(f"own{n}x{k}" for k in range(15))])
+    assert matched.count("Often,") == 1
