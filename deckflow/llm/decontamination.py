@@ -254,21 +254,30 @@ def _found(docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
             for some in slices(batch):
                 plain = [normalized(t) for t in some.column("text").to_pylist()]
                 starts = np.cumsum([0] + [len(t) + 1 for t in plain])
+                shown = np.zeros(len(plain), bool)
                 # No piece has the byte between two texts.
                 for at, hashes in places.places(b"\n".join(plain)):
                     text = np.searchsorted(starts, at, "right") - 1
+                    # The text goes with the first hit in it.
+                    first = np.zeros(len(text), bool)
+                    first[np.unique(text, return_index=True)[1]] = True
+                    first &= ~shown[text]
+                    shown[text] = True
                     yield pa.RecordBatch.from_arrays(
                         [
                             some.column("doc_id").take(pa.array(text)),
                             some.column("key").take(pa.array(text)),
                             pa.array(at - starts[text], pa.int64()),
                             pa.array(hashes.view(np.int64)),
+                            some.column("text").take(pa.array(text, mask=~first)),
                         ],
-                        ["doc_id", "key", "at", "anchor"],
+                        ["doc_id", "key", "at", "anchor", "text"],
                     )
 
+    # Stored with the texts that have hits, so that no later step reads or shuffles the others.
+    stored = materialize(rows.mapInArrow(search, "doc_id long, key long, at long, anchor long, text string"), "hits")
     salt = F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")
-    hits = rows.mapInArrow(search, "doc_id long, key long, at long, anchor long").select("*", salt)
+    hits = stored.select("doc_id", "key", "at", "anchor", salt)
     # Where the whole item may lie if this piece of it is here.
     low = F.greatest(F.col("at") - F.col("first") - F.col("budget"), F.lit(0)).alias("low")
     high = (F.col("at") - F.col("first") + F.col("size") + F.col("budget")).alias("high")
@@ -282,10 +291,8 @@ def _found(docs: DataFrame, items: DataFrame, error_rate: float) -> DataFrame:
         F.collect_list(F.struct("item_id", "plain", "budget", "spots")).alias("items")
     )
     wanted = wanted.withColumnsRenamed({"doc_id": "want_id", "key": "want_key"})
-    held = spots.select("doc_id", "key").distinct().withColumnsRenamed({"doc_id": "want_id", "key": "want_key"})
-    some = rows.join(held, rows.doc_id.eqNullSafe(held.want_id) & (rows.key == held.want_key), "left_semi")
     # Of equal rows one is looked at.
-    one = some.groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    one = stored.where("text IS NOT NULL").groupBy("doc_id", "key").agg(F.first("text").alias("text"))
     asked = one.join(wanted, one.doc_id.eqNullSafe(wanted.want_id) & (one.key == wanted.want_key)).select("doc_id", "key", "text", "items")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

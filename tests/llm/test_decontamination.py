@@ -97,3 +97,14 @@ def test_edges(spark, edges):
     assert left.columns == edges.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "7", "8", "8"]
     assert d.matches(edges.limit(0), items).count() == 0 and d.matches(edges, items.limit(0)).count() == 0
     assert d.clean(edges, items.limit(0)).count() == edges.count()
+
+
+def test_texts_without_hits_go_no_further(spark, monkeypatch):
+    """The documents are read once; what is stored and shuffled after are the texts with hits, once each."""
+    made, store = {}, d.materialize
+    monkeypatch.setattr(d, "materialize", lambda df, name: made.setdefault(name, store(df, name)))
+    bench = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    docs = [(n, fresh(n, 40)) for n in range(30)] + [(90, PROSE), (91, fresh(1, 30) + " " + PROSE + " " + PROSE)]
+    found = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {r.doc_id for r in found.collect()} == {90, 91}
+    assert sorted(r.doc_id for r in made["hits"].where("text IS NOT NULL").collect()) == [90, 91]
