@@ -71,6 +71,7 @@ def cached_inference(
     stage: str | None = None,
     slice_requests: int = SLICE_REQUESTS,
     all_missing: bool = False,
+    n_missing: int | None = None,
 ) -> DataFrame:
     """Answers to ``requests``, sending only what the store at ``path`` lacks.
 
@@ -80,11 +81,11 @@ def cached_inference(
     the slice again that it was at, and none before it. Failures are stored too, for the
     report, but are sent again next time. ``sent`` tells the answers of this call from
     those that were stored before. A caller that knows that none of its requests, a stored
-    table, were answered says so with ``all_missing``.
+    table, were answered says so with ``all_missing``, and with ``n_missing`` how many they are.
     """
     spark = requests.sparkSession
     if all_missing:
-        missing, n = requests, requests.count()
+        missing, n = requests, requests.count() if n_missing is None else n_missing
     else:
         answered = read_responses(spark, path, stage).where("error IS NULL").select("request_hash")
         missing, seen = materialize_measured(
@@ -134,18 +135,32 @@ def confirm_pairs(
 
     nothing_stored: list[bool] = []
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        for side in ("i", "j"):
-            names = {"id": side, "question": f"question_{side}", "answer": f"answer_{side}"}
-            pairs = pairs.join(cards.select("id", "question", "answer").withColumnsRenamed(names), side)
-        asked = as_requests(confirm_requests(pairs), "confirm")
-        asked = materialize(asked.select("block", "i", "j", "similarity", "request_hash", "stage", "prompt"), "confirm")
-        if not nothing_stored:
-            nothing_stored.append(read_responses(asked.sparkSession, path, "confirm").isEmpty())
-        told = cached_inference(
-            asked.select("request_hash", "stage", "prompt"), path, infer, parallelism, "confirm", all_missing=nothing_stored[0]
-        )
-        yes = told.where(redundant_of(parse_answer(F.col("raw"))["json"])).select("request_hash")
-        return asked.join(yes, "request_hash", "left_semi").select("block", "i", "j", "similarity")
-
+    def confirm_by(cards: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        def confirm(pairs: DataFrame) -> DataFrame:
+            for side in ("i", "j"):
+                names = {"id": side, "question": f"question_{side}", "answer": f"answer_{side}"}
+                pairs = pairs.join(cards.select("id", "question", "answer").withColumnsRenamed(names), side)
+            asked = as_requests(confirm_requests(pairs), "confirm")
+            asked = asked.select("block", "i", "j", "similarity", "request_hash", "stage", "prompt")
+            asked, seen = materialize_measured(asked, "confirm", n=F.count(F.lit(1)))
+            if not seen["n"]:
+                return asked.select("block", "i", "j", "similarity")
+            if not nothing_stored:
+                nothing_stored.append(read_responses(asked.sparkSession, path, "confirm").isEmpty())
+            told = cached_inference(
+                asked.select("request_hash", "stage", "prompt"), path, infer, parallelism, "confirm",
+                all_missing=nothing_stored[0], n_missing=seen["n"],
+            )
+            yes = told.where(redundant_of(parse_answer(F.col("raw"))["json"])).select("request_hash")
+            return asked.join(yes, "request_hash", "left_semi").select("block", "i", "j", "similarity")
+
+        return confirm
+
+    def about(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """The same for pairs of ``edges`` alone: their cards are stored once, not looked up anew in every round."""
+        ids = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+        return confirm_by(materialize(cards.select("id", "question", "answer").join(ids, "id", "left_semi"), "asked_cards"))
+
+    confirm = confirm_by(cards)
+    confirm.about = about
     return confirm
