@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from deckflow.llm.common import only
+
 
 def word_bpe() -> str:
     """Place of the vocabulary file that the queries use."""
@@ -56,10 +58,15 @@ class WordEncoder:
         self._kind = "H" if self.dtype.itemsize == 2 else "I"
         # Words and parts of words in one table of two generations: what is in use outlives a
         # full table, and a small word that is its own part is held once.
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; each is learned again when it is asked for."""
         self._young, self._old = _Words(self._learn), {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian in ``dtype``; a null text has none."""
+        only(self)
         if len(self._young) > 2 * self._limit:
             self._old, self._young = self._young, _Words(self._learn)
         ids = self._young.__getitem__

@@ -95,19 +95,22 @@ class Model:
     at: np.ndarray
     weight: np.ndarray
     bias: float | None
-    _dense: np.ndarray | None = None
+    #: Which coordinates have a weight, those in order, and their weights.
+    _known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if self.bias is None:
             return [0.0] * len(texts)
-        if self._dense is None:
-            self._dense = np.zeros(1 << BITS, np.float32)
-            self._dense[self.at] = self.weight
+        if self._known is None:
+            order, there = np.argsort(self.at), np.zeros(1 << BITS, bool)
+            there[self.at] = self.weight.astype(np.float32) != 0
+            self._known = there, self.at[order], self.weight[order].astype(np.float32)
+        there, at, weight = self._known
         sums = []
         for text in texts:
             grams = _grams(text)
-            told = np.unique(grams[self._dense[grams] != 0])
-            sums.append(float(self._dense[told].sum()) + self.bias)
+            told = np.unique(grams[there[grams]])
+            sums.append(float(weight[at.searchsorted(told)].sum()) + self.bias)
         return (1 / (1 + np.exp(-np.clip(sums, -35, 35)))).tolist()
 
 

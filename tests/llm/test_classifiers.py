@@ -8,7 +8,7 @@ import numpy as np
 from samples import PROSE, fresh
 from pyspark.sql import functions as F
 
-from deckflow.llm import language, quality, toxicity
+from deckflow.llm import common, language, quality, tokens, toxicity
 from deckflow.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -246,3 +246,21 @@ def test_ftrl_equals_a_plain_loop():
                 n[i] += g * g
     assert np.allclose(weights, [weight(i) * values[i] for i in range(size)]) and math.isclose(bias, weight(last))
     assert 0 < np.count_nonzero(weights) < size
+
+
+def test_a_process_remembers_the_words_of_one_operator_at_a_time():
+    """A worker that packed texts does not keep their words while it looks for toxic ones."""
+    text = "apple pear plum, apple"
+    encoder, other = (tokens.WordEncoder(tokens.word_bpe()) for _ in range(2))
+    ids, grams = encoder.encode([text]), toxicity.features(text).tolist()
+    assert len(common.WORD_HASHES) == 3 and len(encoder._young) == 1
+    assert encoder.encode([text]) == ids and len(encoder._young) > 3 and not common.WORD_HASHES
+    assert toxicity.features(text).tolist() == grams and len(encoder._young) == 1
+    assert other.encode([text]) == ids
+
+
+def test_toxicity_adds_up_the_weights_that_a_text_has():
+    at = toxicity.features("apple pear")[::-1].astype(np.int64)
+    model = toxicity.Model(at, np.arange(1.0, len(at) + 1), 0.5)
+    assert np.allclose(np.log(np.array(model.scores(["pear apple apple pear"])) ** -1 - 1), -6.5)
+    assert model.scores([None]) == model.scores(["plum"]) == [1 / (1 + np.exp(-0.5))]
